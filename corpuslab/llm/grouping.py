@@ -74,13 +74,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
 
 
-def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pairs: Callable, block: Callable, votes: int = 1) -> DataFrame:
+def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pairs: Callable, block: Callable | None, votes: int = 1) -> DataFrame:
     """Classes ``(id, root)`` of ids that share a bucket and match, directly or through others.
 
     ``buckets(key, id)``: candidates; ``payloads(ids)``: ``(id, payload binary)``
     of the ids asked for; ``pairs(list, list)``: which pairs match;
-    ``block(list, list)``: the matrix of matches. A pivot pair needs ``votes`` shared
-    buckets. Ids that match nothing have no row.
+    ``block(list, list)``: the matrix of matches, or None to leave it at pivots. A
+    pivot pair needs ``votes`` shared buckets. Ids that match nothing have no row.
     """
     buckets = saved(buckets.distinct(), "buckets")
     rank = [F.xxhash64(F.lit(s), "id") for s in (1, 2)]
@@ -101,6 +101,8 @@ def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pair
     links = with_u.join(load.select(F.col("id").alias("v"), F.col("payload").alias("pv")), "v")
     links = saved(links.mapInPandas(confirm, f"u {kind}, v {kind}"), "links")
     classes = saved(components(links), "classes")
+    if block is None:
+        return classes
 
     # members that stand outside the largest class of a bucket of three or more, against the whole bucket
     at = buckets.where("n > 2").select("key", "id", "n").join(classes, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("c"))

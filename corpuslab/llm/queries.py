@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import read
+from corpuslab.llm.decontam import contaminated
+from corpuslab.llm.html_extract import extract_main_text
+from corpuslab.llm.langid import predict_languages
 from corpuslab.llm.licences import RULES as LICENCE_RULES
 from corpuslab.llm.licences import SENTENCES, scan_licences
+from corpuslab.llm.media import image_copies, rendered
 from corpuslab.llm.minhash import near_duplicates
 from corpuslab.llm.mixing import mixed_documents
+from corpuslab.llm.suffix_dedup import removed_repeats
 from corpuslab.llm.url_reputation import LEAST_STRENGTH, MOST_STRENGTH, THRESHOLD, Z, judge_urls
 from corpuslab.llm.url_reputation import RULES as URL_RULES
+from corpuslab.llm.warc import read_archives, write_archives
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,17 +34,43 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_copies(rendered(read(spark, sf_dir, "embeddings"), "vec_id")).withColumnRenamed("id", "vec_id")
+
+
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licences(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.array_join("sentence_ids", "|").alias("sentences"), F.array_join("licences", "|").alias("licences"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_repeats(read(spark, sf_dir, "documents"))
+
+
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_archives(write_archives(read(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=2)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_source_mix, op5_licence_scan, op9_near_duplicates)
+    f.__name__: f
+    for f in (op1_url_filter, op2_source_mix, op3_decontamination, op4_image_copies, op5_licence_scan, op6_language_id, op7_suffix_dedup, op8_warc_bundles, op9_near_duplicates, op10_html_text)
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,4 +141,10 @@ reach(a, z) AS (SELECT doc_id, doc_id FROM w UNION SELECT a, v FROM reach JOIN b
 m AS (SELECT a AS doc_id, min(z) AS component_id FROM reach GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_url_filter": _url_sql(), "op2_source_mix": MIX_SQL, "op5_licence_scan": _licence_sql(), "op9_near_duplicates": NEAR_SQL}
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest, CASE WHEN n >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p LEFT JOIN f ON f.d = p.d"""
+
+ORACLES: dict[str, str] = {"op1_url_filter": _url_sql(), "op2_source_mix": MIX_SQL, "op5_licence_scan": _licence_sql(), "op8_warc_bundles": WARC_SQL, "op9_near_duplicates": NEAR_SQL}
