@@ -77,15 +77,17 @@ def merge_blocks(chunks: DataFrame) -> DataFrame:
     out = rows.groupBy("book", "root_page", "root_block", "leftover", "seq", "sub").agg(parts.alias("p"))
     first = F.col("p")[0]
     all_ = lambda f: F.flatten(F.transform("p", f))
-    lists = {c: F.array_distinct(all_(lambda x, c=c: x[c])) for c in joined if c in chunks.columns}
+    of_named = lambda c: lambda x: x["named_elements"][c]
+    of = lambda c: lambda x: x[c]
+    lists = {c: F.array_distinct(all_(of(c))) for c in joined if c in chunks.columns}
     # the first block's own lists keep their repeats
     lists |= {c: F.when(F.size("p") == 1, first[c]).otherwise(lists[c]) for c in ("math_expressions", "diagrams") if c in chunks.columns}
     text = F.regexp_replace(F.array_join(F.filter(F.transform("p", lambda x: x["main_text_ar"]), lambda t: t != ""), "\n\n"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     columns = {c: first[c] for c in chunks.columns if c not in ("page_number", "block_index", "book")}
     columns |= lists | {"main_text_ar": F.when(F.size("p") == 1, first["main_text_ar"]).otherwise(text), "page_range": F.array(first["page_number"], F.element_at("p", -1)["page_number"])}
-    columns |= {c: F.exists("p", lambda x, c=c: x[c]) for c in ("has_diagram", "has_math") if c in chunks.columns}
+    columns |= {c: F.exists("p", of(c)) for c in ("has_diagram", "has_math") if c in chunks.columns}
     if "named_elements" in chunks.columns:
-        columns["named_elements"] = F.struct(*[F.array_distinct(all_(lambda x, c=c: x["named_elements"][c])).alias(c) for c in named])
+        columns["named_elements"] = F.struct(*[F.array_distinct(all_(of_named(c))).alias(c) for c in named])
     if "source_block_coverage" in chunks.columns:
         columns["source_block_coverage"] = F.map_from_entries(F.transform(columns["source_block_ids"], lambda b: F.struct(b, F.lit(1.0))))
     return out.select("book", F.col("root_page").alias("page_number"), F.col("root_block").alias("block_index"), "leftover", "seq", "sub", *[v.alias(c) for c, v in columns.items()])

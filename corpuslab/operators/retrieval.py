@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 from corpuslab.functions.text import word_tokens
 
 
-def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, token, tf)``, counted within the row before anything is shuffled: one row for each distinct token."""
-    tokens = texts.select(key, F.array_sort(word_tokens(F.col(text))).alias("t")).withColumn("d", F.array_distinct("t"))
-    # in a sorted list a token's count is the distance of first places
-    ends = F.transform("d", lambda x: F.array_position("t", x))
-    counted = tokens.withColumn("p", F.concat(ends, F.array((F.size("t") + 1).cast("long"))))
-    one = F.explode(F.transform("d", lambda x, i: F.struct(x.alias("token"), (F.get("p", i + 1) - F.get("p", i)).alias("tf"))))
-    return counted.select(key, one.alias("x")).select(key, "x.token", "x.tf")
+def token_rows(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, norm, token)``, a row for each token; ``norm`` is the Euclidean norm of the text's token counts.
+
+    The norm comes from one pass over the sorted tokens: a run that grows from r to r + 1
+    adds 2r + 1 to the sum of squares.
+    """
+    tokens = word_tokens(F.col(text))
+    start = F.struct(F.lit("").alias("x"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+    again = lambda a, x: F.when(a["x"] == x, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+    step = lambda a, x: F.struct(x.alias("x"), again(a, x).alias("run"), (a["sum"] + 2 * again(a, x) - 1).alias("sum"))
+    norm = F.aggregate(F.array_sort(tokens), start, step, lambda a: F.sqrt(a["sum"].cast("double")))
+    return texts.select(key, norm.alias("norm"), F.explode(tokens).alias("token"))
 
 
 def ranked(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
@@ -25,25 +29,22 @@ def ranked(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("int"))
 
 
-#: Rows of query terms that are sent to all executors; more are joined by shuffle.
-SENT_TERMS = 2_000_000
+#: Characters of query texts whose terms are sent to all executors; larger sets are joined by shuffle.
+SENT_CHARS = 16_000_000
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "qa_id", item: str = "chunk_id") -> DataFrame:
     """Cosine of token counts; only chunks that share a token are scored: ``(query, item, rank, score)``.
 
-    Chunk terms are built inside the row, so what is shuffled are only terms
-    that some query has: the query side is broadcast where its size, counted first,
-    allows, and joined by shuffle beyond.
+    A chunk's tokens meet the query terms by broadcast (their size is checked first), each
+    adding its term's count in the query, so only partial sums are shuffled, once.
     """
-    q = term_counts(queries, query).withColumnRenamed("tf", "qtf")
-    if q.count() <= SENT_TERMS:
+    q = token_rows(queries, query).groupBy(query, "token").agg(F.count("*").alias("qtf"), F.first("norm").alias("qn"))
+    if (queries.agg(F.sum(F.length("text"))).first()[0] or 0) <= SENT_CHARS:
         q = F.broadcast(q)
-    c = term_counts(chunks, item)
-    norm = lambda df, key, tf, name: df.groupBy(key).agg(F.sqrt(F.sum((F.col(tf) * F.col(tf)).cast("double"))).alias(name))
-    dots = c.join(q, "token").groupBy(query, item).agg(F.sum(F.col("qtf") * F.col("tf")).cast("double").alias("dot"))
-    scored = dots.join(norm(c, item, "tf", "cn"), item).join(norm(q, query, "qtf", "qn"), query)
-    return ranked(scored.select(query, item, (F.col("dot") / (F.col("qn") * F.col("cn"))).alias("score")), query, item, k)
+    both = token_rows(chunks, item).join(q, "token")
+    scored = both.groupBy(query, item).agg(F.sum("qtf").cast("double").alias("dot"), F.first("norm").alias("cn"), F.first("qn").alias("qn"))
+    return ranked(scored.select(query, item, (F.col("dot") / (F.col("cn") * F.col("qn"))).alias("score")), query, item, k)
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -215,7 +215,7 @@ SELECT page_number, block_index, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x
     "gold_recall_targets": f"{SCORED} SELECT qa_id, mapped::BIGINT AS n_targets, covered::BIGINT AS n_covered, recall, CASE WHEN mapped = 0 THEN qa_id::VARCHAR ELSE '' END AS unresolved FROM scored",
     "rank_outcomes": f"{TWO} SELECT system, count(*) FILTER (first_rank = 1) AS rank_1, count(*) FILTER (first_rank BETWEEN 2 AND 5) AS rank_2_to_k, count(*) FILTER (first_rank IS NULL) AS missed FROM s GROUP BY system",
     "paired_questions": f"{TWO} SELECT qa_id, round(max(rr) FILTER (system = 'proposed'), 6) AS proposed, round(max(rr) FILTER (system = 'b2'), 6) AS b2 FROM s GROUP BY qa_id",
-    "unit_deltas": f"""{TWO}, m AS (SELECT system, question_type, unnest(['mrr', 'hit_at_5']) AS metric, unnest([round(avg(rr), 6), round(avg(hit5::INT), 6)]) AS v FROM s GROUP BY ALL)
+    "unit_deltas": f"""{TWO}, g AS (SELECT system, question_type, round(avg(rr), 6) AS x, round(avg(hit5::INT), 6) AS y FROM s GROUP BY ALL), m AS (SELECT system, question_type, 'mrr' AS metric, x AS v FROM g UNION ALL SELECT system, question_type, 'hit_at_5', y FROM g)
 SELECT a.question_type, a.metric, a.v AS a, b.v AS b, round(a.v - b.v, 6) AS difference FROM m a JOIN m b ON a.question_type = b.question_type AND a.metric = b.metric AND a.system = 'proposed' AND b.system = 'b2'""",
     "set_consistency": "SELECT item_id AS qa_id, 1::BIGINT AS n, 1::BIGINT AS n_systems, 1::BIGINT AS n_types FROM benchmark WHERE item_id % 9 = 0",
     "gold_block_match": f"{COVER} SELECT qa_id, target_id, chunk_id, round(coverage, 6) AS coverage, CASE WHEN chunk_id IS NOT NULL THEN 'block_match' END AS basis FROM gq LEFT JOIN (SELECT * FROM cover WHERE coverage >= 0.99) c ON block_id = target_id",
