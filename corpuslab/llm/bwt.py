@@ -41,7 +41,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         at = order[many]
         after = np.minimum(at + step, n - 1)
         k = rank[at] * np.int64(n + 1) + rank[after]
-        sub = np.argsort(k, kind="stable")
+        sub = np.argsort(k)
         k, at = k[sub], at[sub]
         order[many] = at
         fresh = np.ones(len(k), dtype=bool)
@@ -68,22 +68,22 @@ def _cut(key: np.ndarray, symbols: np.ndarray, step: int) -> np.ndarray:
 def long_boundaries(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """For each place of the suffix order, whether it shares at least ``least`` symbols with the place before."""
     n = len(symbols)
-    where = np.empty(n, dtype=np.int64)
-    where[order] = np.arange(n)
+    where = np.empty(n, dtype=np.int32)
+    where[order] = np.arange(n, dtype=np.int32)
     before = symbols[order - 1]  # the transform; the text is taken as cyclic
     back = where[order - 1]  # place of the suffix that is one symbol longer
     open_ = np.ones(n + 1, dtype=bool)
     open_[0] = open_[n] = False
-    low, high = np.array([0]), np.array([n - 1])
+    low, high = np.array([0], dtype=np.int32), np.array([n - 1], dtype=np.int32)
     for _ in range(least):
         if not len(low):
             break
         size = high - low + 1
-        starts = np.cumsum(size) - size
-        own = np.repeat(np.arange(len(low)), size)
-        at = np.arange(len(own)) - np.repeat(starts - low, size)
+        starts = np.cumsum(size, dtype=np.int32) - size
+        own = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        at = np.arange(len(own), dtype=np.int32) - np.repeat(starts - low, size)
         to = back[at]
-        sort = np.argsort(to, kind="stable")
+        sort = np.argsort(to)
         to, own, sym = to[sort], own[sort], before[at[sort]]
         new = np.ones(len(to), dtype=bool)
         new[1:] = (to[1:] != to[:-1] + 1) | (own[1:] != own[:-1]) | (sym[1:] != sym[:-1])
@@ -100,9 +100,9 @@ def repeated(texts: Sequence[bytes], weights: Sequence[int], least: int) -> list
     if not texts:
         return []
     sizes = np.array([len(t) for t in texts])
-    symbols = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8).astype(np.int64)
+    symbols = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8).astype(np.int32)
     seps = np.cumsum(sizes + 1) - 1
-    symbols[seps] = 256 + np.arange(len(texts))
+    symbols[seps] = 256 + np.arange(len(texts), dtype=np.int32)
     order = suffix_order(symbols, least)
     joined = long_boundaries(symbols, order, least)
     text_of = np.repeat(np.arange(len(texts)), sizes + 1)

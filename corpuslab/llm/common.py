@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Arrow batches of a few megabytes from now on in this session: a Python worker then holds little at a time, whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and the rows outlive executors."""
     spark = df.sparkSession

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
+from corpuslab.llm.common import bounded_batches
 
 #: Edits by words of an item; embeddings and sampled positions in each; items of one pass; ratio of lengths of a class.
 TOLERANCE, REPETITIONS, SAMPLES, ITEMS, RATIO = 0.2, 40, 4, 20_000, 1.15
@@ -201,6 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLER
     blocks of fixed size. Rows that repeat each give their matches; other columns
     are ignored.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("text is not null")
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, first_word long, n_words long, distance long"

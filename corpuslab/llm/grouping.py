@@ -85,6 +85,7 @@ def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pair
     buckets = saved(buckets.distinct(), "buckets")
     rank = [F.xxhash64(F.lit(s), "id") for s in (1, 2)]
     full = buckets.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("id", r).alias(f"p{i}") for i, r in enumerate(rank))).where("n > 1")
+    full = saved(full, "pivots")  # a written table, so that the join can split the rows of a hot bucket
     buckets = saved(buckets.join(full, "key"), "full-buckets")
     asked = buckets.select("id", F.explode(F.array("p0", "p1")).alias("p")).where("id <> p")
     asked = asked.select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= votes).select("u", "v")

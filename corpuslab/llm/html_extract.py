@@ -13,6 +13,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpuslab.llm.common import bounded_batches
+
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     """a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was were which with you
@@ -187,6 +189,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Null and empty html give empty text; whole pages are read, whatever their
     length. Rows that repeat each get their row; other columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
     kind = pages.schema["page_id"].dataType.simpleString()
 

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
+from corpuslab.llm.common import bounded_batches
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: Most labelled texts of a language, and most languages, that a model is fitted on.
@@ -144,10 +145,12 @@ def training_rows(docs: DataFrame, usable: Column, per_language: int = PER_LANGU
     ``LANGUAGES`` rows reach the driver.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= per_language)
     common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    ids = ids.join(F.broadcast(common.select("lang")), "lang").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__l"))
+    # a share of each language's rows, twice what is needed on average, is ranked: no task ranks a whole language
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
+    some = rows.select("doc_id", "lang").join(F.broadcast(common), "lang").where(draw * F.col("n") < 2.0 * per_language + 50)
+    by = W.partitionBy("lang").orderBy(draw, "doc_id")
+    ids = some.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= per_language).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__l"))
     picked = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__l")))
     found = picked.select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang", "text"])
     return list(found["text"]), list(found["lang"])
@@ -166,6 +169,7 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     model knows no language. Rows that repeat each get their row; ``keep`` should not
     name a column of the result.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: buckets x languages
     # numbered names keep clashing ones apart; a text that is kept travels once
     at = keep.index("text") if "text" in keep else len(keep)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import saved
+from corpuslab.llm.common import bounded_batches, saved
 from corpuslab.llm.grouping import resolve
 
 SCALES, CORNERS, TESTS = (1.0, 1.5, 2.25), 20, 256
@@ -158,6 +158,7 @@ def image_copies(images: DataFrame) -> DataFrame:
     proposed by pivots of shared keys, so a copy is missed if it shares fewer than two
     keys with every pivot that it meets.
     """
+    bounded_batches(images.sparkSession)
     images = images.select("id", "image")
     kind = images.schema["id"].dataType.simpleString()
 

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
-from corpuslab.llm.common import saved
+from corpuslab.llm.common import bounded_batches, saved
 from corpuslab.llm.grouping import resolve
 
 #: Rows and bands: a pair at 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8.
 ROWS, BANDS = 4, 32
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def superminhash(values: np.ndarray, offsets: np.ndarray, registers: int) -> np.ndarray:
@@ -140,12 +140,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     is never a component's name unless the component has no other; then both
     ``component_id`` and ``kept`` are null and true. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketch = saved(docs.mapInPandas(_sketch(width, rows, bands), f"doc_id {kind}, n_shingles long, id binary, bands array<long>"), "sketch")
     solid = sketch.where("n_shingles > 0")
     # one row for each distinct set
-    classes = solid.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    classes = saved(solid.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "sets")
     buckets = classes.select(F.explode("bands").alias("key"), "id")
 
     def payloads(ids: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
 
     roots = resolve(buckets, payloads, _pairs(percent), _block(percent))
     named = classes.select("id", "least").join(roots, "id").groupBy("root").agg(F.min("least").alias("named"))
-    named = roots.join(named, "root").select("id", "named")
+    named = saved(roots.join(named, "root").select("id", "named"), "names")
     own = classes.select("id", "least")
     out = sketch.join(own, "id", "left").join(named, "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("named", "least")).otherwise(F.col("doc_id"))

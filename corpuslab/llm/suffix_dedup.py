@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.bwt import repeated
-from corpuslab.llm.common import saved
+from corpuslab.llm.common import bounded_batches, saved
 
-LEAST, ANCHOR = 200, 32
+LEAST, ANCHOR = 200, 64
 #: Bytes of texts hashed at a time; bytes of a block; distinct segments of a key in a block.
-CHUNK, BLOCK, CROWD = 1 << 20, 1 << 20, 8192
+CHUNK, BLOCK, CROWD = 1 << 20, 1 << 18, 2048
 CELLS = (16, 1)
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
 def segments(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
@@ -42,7 +42,7 @@ def segments(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
         return empty, empty, empty, empty, empty
     with np.errstate(over="ignore"):
         h, size = data.astype(np.uint64) + np.uint64(1), 1
-        for m in MULTIPLIERS:  # hashes of 2, 4, ... 32 bytes
+        for m in MULTIPLIERS:  # hashes of 2, 4, ... 64 bytes
             h = h[: len(h) - size] * np.uint64(m | 1) + h[size:]
             size *= 2
         h = K.mix(h)
@@ -68,13 +68,16 @@ def segments(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
     return text, first - (ends - sizes)[text], last - first + 1, at - first, h[at].view(np.int64)
 
 
-def _anchors(least: int):
+def _anchors(least: int, hashes_only: bool = False):
     def run(parts):
         for pdf in parts:
             texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
             for lo, hi in K.batches([len(t) for t in texts], CHUNK):
                 some = texts[lo:hi]
                 text, start, windows, off, h = segments(some, least)
+                if hashes_only:
+                    yield pd.DataFrame({"h": h})
+                    continue
                 print_ = np.array([zlib.crc32(t) for t in some], dtype=np.int64)
                 g = [hashlib.blake2b(some[t][a : a + w + least - 1], digest_size=8).digest() for t, a, w in zip(text.tolist(), start.tolist(), windows.tolist())]
                 yield pd.DataFrame({"h": h, "g": np.frombuffer(b"".join(g), dtype=np.int64), "doc_id": pdf["doc_id"].iloc[lo:hi].take(text).array, "fp": print_[text], "at": start << 16 | windows << 8 | off})
@@ -168,15 +171,17 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, crowd: int = CROWD, bloc
     """``(doc_id, fp, spans)``: byte spans ``[start, end)`` covered by repeats, of the texts of ``docs`` that have some; ``fp`` is the text's CRC-32."""
     if not ANCHOR < least <= ANCHOR + 200:
         raise ValueError(f"the minimum length must be over {ANCHOR} and at most {ANCHOR + 200} bytes")
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     anchors = docs.mapInPandas(_anchors(least), f"h long, g long, doc_id {kind}, fp long, at long")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written tables on both sides of a join let Spark split the rows of one hot anchor
+    twice = saved(docs.select("text").mapInPandas(_anchors(least, True), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     found = saved(anchors.join(twice, "h"), "anchors")
     # equal segments are one, with a weight
     place = F.struct("doc_id", "fp", "at")
     one = saved(found.groupBy("h", "g").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("w"), F.min(place).alias("p")), "distinct")
-    mixed = one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    mixed = saved(one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "mixed")
     wanted = one.join(mixed, "h").groupBy(F.col("p.doc_id").alias("__d"), F.col("p.fp").alias("__f")).agg(F.collect_list(F.struct("h", "g", "w", F.col("p.at").alias("at"))).alias("wanted"))
     on = docs["doc_id"].eqNullSafe(F.col("__d")) & (F.crc32(docs["text"]) == F.col("__f"))
     one_row = docs.join(wanted, on).select("text", "wanted", "__d", "__f")
@@ -187,7 +192,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, crowd: int = CROWD, bloc
     runs = runs.groupBy("h", "g").agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("base")))).alias("runs"))
     # an anchor with one distinct segment needs no transform: all its windows occur as often as the segment
     alone = one.join(mixed, "h", "left_anti").where("w > 1").select("h", "g", F.array(F.lit(0), F.shiftright("p.at", 8).bitwiseAND(F.lit(255)).cast("int") - 1).alias("runs"))
-    runs = runs.unionByName(alone)
+    runs = saved(runs.unionByName(alone), "runs")
     spans = found.join(runs, ["h", "g"]).groupBy("doc_id", "fp").agg(F.collect_list(F.struct(F.shiftright("at", 16).alias("start"), "runs")).alias("spans"))
     return spans
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import saved
+from corpuslab.llm.common import bounded_batches, saved
 
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -139,6 +139,7 @@ def write_archives(pages: DataFrame, least: int = LEAST, bundle: int = BUNDLE, f
     and revisit only where there is one. Null html is empty, null urls
     have no target header. A record larger than a frame or bundle has its own.
     """
+    bounded_batches(pages.sparkSession)
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("digest"), (F.octet_length(html) >= least).alias("long"))
     first = rows.where("long").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
