@@ -77,16 +77,18 @@ def components(links: DataFrame) -> DataFrame:
 def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pairs: Callable, block: Callable | None, votes: int = 1) -> DataFrame:
     """Classes ``(id, root)`` of ids that share a bucket and match, directly or through others.
 
-    ``buckets(key, id)``: candidates; ``payloads(ids)``: ``(id, payload binary)``
+    ``buckets(key, id)``: candidates, each once; ``payloads(ids)``: ``(id, payload binary)``
     of the ids asked for; ``pairs(list, list)``: which pairs match;
     ``block(list, list)``: the matrix of matches, or None to leave it at pivots. A
     pivot pair needs ``votes`` shared buckets. Ids that match nothing have no row.
     """
-    buckets = saved(buckets.distinct(), "buckets")
+    buckets = saved(buckets, "buckets")
     rank = [F.xxhash64(F.lit(s), "id") for s in (1, 2)]
     full = buckets.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("id", r).alias(f"p{i}") for i, r in enumerate(rank))).where("n > 1")
     full = saved(full, "pivots")  # a written table, so that the join can split the rows of a hot bucket
-    buckets = saved(buckets.join(full, "key"), "full-buckets")
+    buckets = buckets.join(full, "key")
+    if block is not None:
+        buckets = saved(buckets, "full-buckets")
     asked = buckets.select("id", F.explode(F.array("p0", "p1")).alias("p")).where("id <> p")
     asked = asked.select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= votes).select("u", "v")
     asked = saved(asked, "asked")

@@ -20,7 +20,7 @@ from corpuslab.llm.common import bounded_batches, saved
 from corpuslab.llm.grouping import resolve
 
 SCALES, CORNERS, TESTS = (1.0, 1.5, 2.25), 20, 256
-TABLES, BITS = 6, 32
+TABLES, BITS = 4, 32
 #: Shared keys that propose a pair; most differing tests of a match; corners that must agree; pixels they may be off.
 VOTES, NEAR, AGREE, OFF = 2, 40, 8, 3.0
 RADIUS = 9
@@ -175,6 +175,7 @@ def image_copies(images: DataFrame) -> DataFrame:
 
     found = saved(images.mapInPandas(run, f"own {kind}, n_corners long, id binary, payload binary, keys array<long>"), "corners")
     classes = found.where("id is not null").groupBy("id").agg(F.min("own").alias("least"), F.first("keys").alias("keys"))
+    classes = saved(classes, "images")
     buckets = classes.select(F.explode("keys").alias("key"), "id")
 
     def payloads(ids: DataFrame) -> DataFrame:

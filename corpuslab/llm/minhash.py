@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     solid = sketch.where("n_shingles > 0")
     # one row for each distinct set
     classes = saved(solid.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "sets")
-    buckets = classes.select(F.explode("bands").alias("key"), "id")
+    buckets = classes.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
 
     def payloads(ids: DataFrame) -> DataFrame:
         one = solid.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
