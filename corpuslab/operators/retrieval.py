@@ -20,7 +20,8 @@ def token_rows(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     again = lambda a, x: F.when(a["x"] == x, a["run"] + 1).otherwise(F.lit(1).cast("long"))
     step = lambda a, x: F.struct(x.alias("x"), again(a, x).alias("run"), (a["sum"] + 2 * again(a, x) - 1).alias("sum"))
     norm = F.aggregate(F.array_sort(tokens), start, step, lambda a: F.sqrt(a["sum"].cast("double")))
-    return texts.select(key, norm.alias("norm"), F.explode(tokens).alias("token"))
+    # the norm is computed below the explode, once for each text
+    return texts.select(key, norm.alias("norm"), tokens.alias("t")).select(key, "norm", F.explode("t").alias("token"))
 
 
 def ranked(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
