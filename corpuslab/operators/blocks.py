@@ -87,7 +87,7 @@ def image_links(diagrams: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def boxes(diagrams: DataFrame) -> DataFrame:
     """Boxes as shares of the page: ``box_2d`` is (y1, x1, y2, x2) by thousandths, clamped; four numbers are required, empty boxes go."""
-    part = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("box_2d")[i] / 1000))
+    part = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.get("box_2d", F.lit(i)) / 1000))
     whole = (F.size("box_2d") == 4) & ~F.exists("box_2d", lambda x: x.isNull())
     out = diagrams.where(whole).select(*[c for c in diagrams.columns if c != "box_2d"], part(1).alias("x1"), part(0).alias("y1"), part(3).alias("x2"), part(2).alias("y2"))
     return out.where("x1 < x2 and y1 < y2")
