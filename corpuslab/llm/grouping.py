@@ -1,6 +1,6 @@
 """Union-find over distributed links, and the resolution of candidate buckets into classes.
 
-Nothing here forms all pairs of a bucket. Two pivots of each bucket are compared
+Nothing here forms all pairs of a bucket. One or two pivots of each bucket are compared
 with its members; only members that this leaves outside the bucket's largest
 class are compared with the rest, in blocks of bounded size, each block a task
 of its own, which returns the links it finds and no pairs.
@@ -74,22 +74,21 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
 
 
-def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pairs: Callable, block: Callable | None, votes: int = 1) -> DataFrame:
+def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pairs: Callable, block: Callable | None, votes: int = 1, pivots: int = 2) -> DataFrame:
     """Classes ``(id, root)`` of ids that share a bucket and match, directly or through others.
 
-    ``buckets(key, id)``: candidates, each once; ``payloads(ids)``: ``(id, payload binary)``
+    ``buckets(key, id)``: candidates, each once, cheap to read again; ``payloads(ids)``: ``(id, payload binary)``
     of the ids asked for; ``pairs(list, list)``: which pairs match;
     ``block(list, list)``: the matrix of matches, or None to leave it at pivots. A
     pivot pair needs ``votes`` shared buckets. Ids that match nothing have no row.
     """
-    buckets = saved(buckets, "buckets")
-    rank = [F.xxhash64(F.lit(s), "id") for s in (1, 2)]
+    rank = [F.xxhash64(F.lit(s + 1), "id") for s in range(pivots)]
     full = buckets.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("id", r).alias(f"p{i}") for i, r in enumerate(rank))).where("n > 1")
     full = saved(full, "pivots")  # a written table, so that the join can split the rows of a hot bucket
     buckets = buckets.join(full, "key")
     if block is not None:
         buckets = saved(buckets, "full-buckets")
-    asked = buckets.select("id", F.explode(F.array("p0", "p1")).alias("p")).where("id <> p")
+    asked = buckets.select("id", F.explode(F.array(*[f"p{i}" for i in range(pivots)])).alias("p")).where("id <> p")
     asked = asked.select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= votes).select("u", "v")
     asked = saved(asked, "asked")
     load = payloads(asked.select(F.explode(F.array("u", "v")).alias("id")).distinct())

@@ -20,7 +20,7 @@ from corpuslab.llm.common import bounded_batches, saved
 from corpuslab.llm.grouping import resolve
 
 SCALES, CORNERS, TESTS = (1.0, 1.5, 2.25), 20, 256
-TABLES, BITS = 4, 32
+TABLES, BITS = 3, 32
 #: Shared keys that propose a pair; most differing tests of a match; corners that must agree; pixels they may be off.
 VOTES, NEAR, AGREE, OFF = 2, 40, 8, 3.0
 RADIUS = 9
@@ -174,15 +174,16 @@ def image_copies(images: DataFrame) -> DataFrame:
             yield out.assign(own=pdf["id"].array)
 
     found = saved(images.mapInPandas(run, f"own {kind}, n_corners long, id binary, payload binary, keys array<long>"), "corners")
-    classes = found.where("id is not null").groupBy("id").agg(F.min("own").alias("least"), F.first("keys").alias("keys"))
-    classes = saved(classes, "images")
-    buckets = classes.select(F.explode("keys").alias("key"), "id")
+    classes = saved(found.where("id is not null").groupBy("id").agg(F.min("own").alias("least")), "images")
+    # the keys of one row stand for all of the same bytes
+    one = found.select("id", "own", "keys").join(classes, "id").where(F.col("own").eqNullSafe(F.col("least")))
+    buckets = one.select(F.explode("keys").alias("key"), "id")
 
     def payloads(ids: DataFrame) -> DataFrame:
         return found.select("id", "payload").join(ids, "id", "left_semi").groupBy("id").agg(F.first("payload").alias("payload"))
 
     pairs = lambda us, vs: [same_scene(u, v) for u, v in zip(us, vs)]
-    roots = resolve(buckets, payloads, pairs, None, votes=VOTES)
+    roots = resolve(buckets, payloads, pairs, None, votes=VOTES, pivots=1)
     named = roots.join(classes.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("named"))
     named = roots.join(named, "root").select("id", "named")
     out = found.select("own", "n_corners", "id").join(classes.select("id", "least"), "id", "left").join(named, "id", "left")
