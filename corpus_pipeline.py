@@ -17,8 +17,7 @@ from corpuslab.llm.suffix_dedup import without_repeats
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model doesn't reject; trained on all that have a language."""
-    held = classify(docs, train(docs), keep=tuple(c for c in docs.columns if c != "text") + ("text",))
-    return held.where(~F.col("rejected")).select(*docs.columns)
+    return classify(docs.select(F.struct("*").alias("row"), "text"), train(docs), keep=("row",)).where(~F.col("rejected")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

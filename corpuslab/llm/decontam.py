@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.common import bounded_batches
@@ -204,34 +205,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLER
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("text is not null")
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, first_word long, n_words long, distance long"
+    item_kind = benchmark.schema["item_id"].dataType
+    passage = StructType([StructField("item_id", item_kind), *[StructField(c, LongType()) for c in ("first_word", "n_words", "distance")]])
     rows = benchmark.select("item_id", "text").where("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator()
     out, block = None, []
 
     def search(block):
         shared = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in block], [r[1] for r in block], tolerance, repetitions))
 
-        def run(parts):
-            for pdf in parts:
-                found = matches(list(pdf["text"]), shared.value)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].take([f[0] for f in found]).array, **{c: pd.Series([f[i] for f in found], dtype="int64") for i, c in enumerate(("item_id", "first_word", "n_words", "distance"), 1)}})
+        @F.pandas_udf(ArrayType(passage))
+        def find(texts: pd.Series) -> pd.Series:
+            found: list[list] = [[] for _ in texts]
+            for t, *match in matches(list(texts), shared.value):
+                found[t].append(dict(zip(passage.names, match)))
+            return pd.Series(found)
 
-        return docs.mapInPandas(run, schema)
+        return docs.select("doc_id", F.explode(find("text")).alias("m")).select("doc_id", "m.*")
 
     for r in rows:
         block.append(r)
         if len(block) == ITEMS:
             out, block = search(block) if out is None else out.unionByName(search(block)), []
     if block or out is None:
-        last = search(block) if block else docs.sparkSession.createDataFrame([], schema)
+        last = search(block) if block else docs.limit(0).select("doc_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in passage])
         out = last if out is None else out.unionByName(last)
     return out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **knobs) -> DataFrame:
     """``docs`` without the documents that hold a passage of an item; rows with null ids are matched by their text."""
-    keyed = docs.withColumn("__fp", F.xxhash64("text"))
-    hits = contaminated(docs.select(F.struct("doc_id", F.xxhash64("text").alias("fp")).alias("__k"), "text").select(F.to_json("__k").alias("doc_id"), "text"), benchmark, **knobs)
-    hits = hits.select(F.from_json("doc_id", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__f")).distinct()
-    return keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["__id"]) & keyed["__fp"].eqNullSafe(hits["__f"]), "left_anti").drop("__fp")
+    keyed = docs.select("*", F.struct("doc_id", F.xxhash64("text").alias("fp")).alias("__key"))
+    hits = contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, **knobs).select(F.col("doc_id").alias("__hit")).distinct()
+    same = keyed["__key.doc_id"].eqNullSafe(hits["__hit.doc_id"]) & keyed["__key.fp"].eqNullSafe(hits["__hit.fp"])
+    return keyed.join(hits, same, "left_anti").drop("__key")

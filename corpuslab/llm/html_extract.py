@@ -12,6 +12,8 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpuslab.llm.common import bounded_batches
 
@@ -191,11 +193,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
     bounded_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
-    kind = pages.schema["page_id"].dataType.simpleString()
 
-    def run(parts):
-        for pdf in parts:
-            text = [main_text(x) if isinstance(x, str) else "" for x in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+    @F.pandas_udf(StringType())
+    def text(html_: pd.Series) -> pd.Series:
+        return html_.map(lambda x: main_text(x) if isinstance(x, str) else "")
 
-    return pages.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.common import bounded_batches
@@ -32,6 +33,8 @@ CHUNK = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
+PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+
 #: Bytes that end a word: controls, digits and ASCII punctuation.
 _SPACE = ~K.ALNUM
 _SPACE[0x30:0x3A] = True
@@ -171,28 +174,22 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: buckets x languages
-    # numbered names keep clashing ones apart; a text that is kept travels once
-    at = keep.index("text") if "text" in keep else len(keep)
-    flat = docs.select(*[docs[c].alias(f"__k{i}") for i, c in enumerate(keep)], *([docs["text"].alias(f"__k{at}")] if at == len(keep) else []))
 
-    def run(parts):
+    @F.pandas_udf(PREDICTION)
+    def predict(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        for pdf in parts:
-            texts = pdf[f"__k{at}"]
-            solid = np.array([isinstance(t, str) and LETTER.search(t) is not None for t in texts], dtype=bool) & bool(m.languages)
-            pred, score = np.full(len(pdf), UNKNOWN, dtype=object), np.zeros(len(pdf))
-            some = np.flatnonzero(solid)
-            if len(some):
-                p = softmax(logits([texts.iloc[i].lower().encode("utf-8", "surrogatepass") for i in some], m), m.temperature)
-                best = p.argmax(axis=1)
-                pred[some] = np.array(m.languages, dtype=object)[best]
-                score[some] = p[np.arange(len(some)), best]
-            found = pd.DataFrame({"lang_pred": pred, "score": score, "rejected": ~solid | (score < m.threshold)}, index=pdf.index)
-            yield pd.concat([pdf[[f"__k{i}" for i in range(len(keep))]], found], axis=1)
-
-    fields = ", ".join(f"__k{i} {flat.schema[f'__k{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    done = flat.mapInPandas(run, f"{fields}, lang_pred string, score double, rejected boolean")
-    return done.withColumnsRenamed({f"__k{i}": c for i, c in enumerate(keep)})
+        solid = np.array([isinstance(t, str) and LETTER.search(t) is not None for t in texts], dtype=bool) & bool(m.languages)
+        pred, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+        some = np.flatnonzero(solid)
+        if len(some):
+            p = softmax(logits([texts.iloc[i].lower().encode("utf-8", "surrogatepass") for i in some], m), m.temperature)
+            best = p.argmax(axis=1)
+            pred[some] = np.array(m.languages, dtype=object)[best]
+            score[some] = p[np.arange(len(some)), best]
+        return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": ~solid | (score < m.threshold)})
+
+    # other columns never enter Python
+    return docs.select(*[docs[c] for c in keep], predict(docs["text"]).alias("__p")).select(*keep, "__p.lang_pred", "__p.score", "__p.rejected")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.common import bounded_batches, saved
@@ -61,20 +62,25 @@ def superminhash(values: np.ndarray, offsets: np.ndarray, registers: int) -> np.
     return out
 
 
+SKETCH = StructType([StructField("n_shingles", LongType()), StructField("id", BinaryType()), StructField("bands", ArrayType(LongType()))])
+
+
 def _sketch(width: int, rows: int, bands: int):
-    def run(parts):
-        for pdf in parts:
-            texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
-            for lo, hi in K.batches([len(t) for t in texts], CHUNK):
-                values, off, _ = K.shingles(texts[lo:hi], width)
-                sig = superminhash(values, off, rows * bands).reshape(hi - lo, bands, rows)
-                digest = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(off[:-1], off[1:])]
-                with np.errstate(over="ignore"):
-                    key = np.zeros((hi - lo, bands), dtype=np.uint64)
-                    for r in range(rows):
-                        key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r].astype(np.uint64))
-                    key = K.mix(key + np.arange(bands, dtype=np.uint64))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].array, "n_shingles": np.diff(off), "id": digest, "bands": list(key.view(np.int64))})
+    @F.pandas_udf(SKETCH)
+    def run(column: pd.Series) -> pd.DataFrame:
+        texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in column]
+        out = []
+        for lo, hi in K.batches([len(t) for t in texts], CHUNK):
+            values, off, _ = K.shingles(texts[lo:hi], width)
+            sig = superminhash(values, off, rows * bands).reshape(hi - lo, bands, rows)
+            digest = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(off[:-1], off[1:])]
+            with np.errstate(over="ignore"):
+                key = np.zeros((hi - lo, bands), dtype=np.uint64)
+                for r in range(rows):
+                    key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r].astype(np.uint64))
+                key = K.mix(key + np.arange(bands, dtype=np.uint64))
+            out.append(pd.DataFrame({"n_shingles": np.diff(off), "id": digest, "bands": list(key.view(np.int64))}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"n_shingles": [], "id": [], "bands": []})
 
     return run
 
@@ -142,8 +148,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sketch = saved(docs.mapInPandas(_sketch(width, rows, bands), f"doc_id {kind}, n_shingles long, id binary, bands array<long>"), "sketch")
+    sketch = saved(docs.select("doc_id", _sketch(width, rows, bands)("text").alias("s")).select("doc_id", "s.*"), "sketch")
     solid = sketch.where("n_shingles > 0")
     # one row for each distinct set
     classes = saved(solid.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "sets")

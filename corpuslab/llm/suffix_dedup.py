@@ -14,12 +14,12 @@ all bytes that the cell's windows share, and at last single windows.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.bwt import repeated
@@ -78,9 +78,9 @@ def _anchors(least: int, hashes_only: bool = False):
                 if hashes_only:
                     yield pd.DataFrame({"h": h})
                     continue
-                print_ = np.array([zlib.crc32(t) for t in some], dtype=np.int64)
                 g = [hashlib.blake2b(some[t][a : a + w + least - 1], digest_size=8).digest() for t, a, w in zip(text.tolist(), start.tolist(), windows.tolist())]
-                yield pd.DataFrame({"h": h, "g": np.frombuffer(b"".join(g), dtype=np.int64), "doc_id": pdf["doc_id"].iloc[lo:hi].take(text).array, "fp": print_[text], "at": start << 16 | windows << 8 | off})
+                own = pdf.iloc[lo:hi].take(text)
+                yield pd.DataFrame({"h": h, "g": np.frombuffer(b"".join(g), dtype=np.int64), "doc_id": own["doc_id"].array, "fp": own["fp"].array, "at": start << 16 | windows << 8 | off})
 
     return run
 
@@ -167,13 +167,21 @@ def repeated_windows(items: DataFrame, least: int, crowd: int, block: int, cells
     return out.unionByName(repeated_windows(finer, least, crowd, block, cells[1:]))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__d`` and ``__f``, never null: the id or a zero value, and the text's CRC-32, marked where the id is null."""
+    kind = docs.schema["doc_id"].dataType
+    zero = F.lit("0").cast(kind)
+    mark = F.when(F.col("doc_id").isNull(), F.lit(1 << 32)).otherwise(F.lit(0))
+    return docs.select("*", F.coalesce("doc_id", zero).alias("__d"), (F.crc32(F.coalesce("text", F.lit(""))) + mark).alias("__f"))
+
+
 def repeated_spans(docs: DataFrame, least: int = LEAST, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, fp, spans)``: byte spans ``[start, end)`` covered by repeats, of the texts of ``docs`` that have some; ``fp`` is the text's CRC-32."""
+    """``(__d, __f, spans)`` of the texts of ``docs`` that have repeats, by the keys of :func:`keyed`; a span is a start and the repeated windows' numbers."""
     if not ANCHOR < least <= ANCHOR + 200:
         raise ValueError(f"the minimum length must be over {ANCHOR} and at most {ANCHOR + 200} bytes")
     bounded_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text").where("text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = keyed(docs.select("doc_id", "text").where("text is not null")).select(F.col("__d").alias("doc_id"), F.col("__f").alias("fp"), "text")
     anchors = docs.mapInPandas(_anchors(least), f"h long, g long, doc_id {kind}, fp long, at long")
     # written tables on both sides of a join let Spark split the rows of one hot anchor
     twice = saved(docs.select("text").mapInPandas(_anchors(least, True), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
@@ -182,10 +190,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, crowd: int = CROWD, bloc
     place = F.struct("doc_id", "fp", "at")
     one = saved(found.groupBy("h", "g").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("w"), F.min(place).alias("p")), "distinct")
     mixed = saved(one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "mixed")
-    wanted = one.join(mixed, "h").groupBy(F.col("p.doc_id").alias("__d"), F.col("p.fp").alias("__f")).agg(F.collect_list(F.struct("h", "g", "w", F.col("p.at").alias("at"))).alias("wanted"))
-    on = docs["doc_id"].eqNullSafe(F.col("__d")) & (F.crc32(docs["text"]) == F.col("__f"))
-    one_row = docs.join(wanted, on).select("text", "wanted", "__d", "__f")
-    items = one_row.select("text", "wanted").mapInPandas(_cut(least), ITEM)
+    wanted = one.join(mixed, "h").groupBy(F.col("p.doc_id").alias("doc_id"), F.col("p.fp").alias("fp")).agg(F.collect_list(F.struct("h", "g", "w", F.col("p.at").alias("at"))).alias("wanted"))
+    items = docs.join(wanted, ["doc_id", "fp"]).select("text", "wanted").mapInPandas(_cut(least), ITEM)
     # rows that repeat are cut each: a segment counts once
     items = items.groupBy("h", "g").agg(*(F.first(c).alias(c) for c in ("k", "base", "text", "w", "off"))).select("k", "h", "g", "base", "text", "w", "off")
     runs = repeated_windows(items, least, crowd, block)
@@ -193,45 +199,45 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, crowd: int = CROWD, bloc
     # an anchor with one distinct segment needs no transform: all its windows occur as often as the segment
     alone = one.join(mixed, "h", "left_anti").where("w > 1").select("h", "g", F.array(F.lit(0), F.shiftright("p.at", 8).bitwiseAND(F.lit(255)).cast("int") - 1).alias("runs"))
     runs = saved(runs.unionByName(alone), "runs")
-    spans = found.join(runs, ["h", "g"]).groupBy("doc_id", "fp").agg(F.collect_list(F.struct(F.shiftright("at", 16).alias("start"), "runs")).alias("spans"))
-    return spans
+    return found.join(runs, ["h", "g"]).groupBy(F.col("doc_id").alias("__d"), F.col("fp").alias("__f")).agg(F.collect_list(F.struct(F.shiftright("at", 16).alias("start"), "runs")).alias("spans"))
 
 
-def _strip(least: int, full: bool):
-    def run(parts):
-        for pdf in parts:
-            out = []
-            for t, spans in zip(pdf["text"], pdf["spans"]):
-                b = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
-                edges = np.zeros(len(b) + 1, dtype=np.int32)
-                for s in spans if spans is not None else ():
-                    for a, z in zip(s["runs"][::2], s["runs"][1::2]):
-                        edges[s["start"] + a] += 1
-                        edges[s["start"] + z + least] -= 1
-                gone = np.cumsum(edges)[:-1] > 0
-                first, end = K.runs(gone)
-                kept, last = [], 0
-                for a, z in zip(first.tolist(), end.tolist()):
-                    kept.append(b[last:a])
-                    last = z
-                kept = b"".join([*kept, b[last:]])
-                if full:
-                    out.append((kept.decode("utf-8", "ignore") if isinstance(t, str) else None, int(gone.sum())))
-                else:
-                    out.append((len(b), int(gone.sum()), len(first), hashlib.sha256(kept).hexdigest()))
-            if full:
-                cut = pd.DataFrame(out, columns=["__text", "__gone"], index=pdf.index)
-                yield pd.concat([pdf.drop(columns=["text", "spans"]), cut], axis=1)
-            else:
-                cut = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"], index=pdf.index)
-                yield pd.concat([pdf[["doc_id"]], cut], axis=1)
+def _kept(text: str | None, spans, least: int) -> tuple[bytes, int, int, bytes]:
+    """A text's bytes, the number of those removed, of removed runs, and the bytes that stay."""
+    b = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+    edges = np.zeros(len(b) + 1, dtype=np.int32)
+    for s in spans if spans is not None else ():
+        for a, z in zip(s["runs"][::2], s["runs"][1::2]):
+            edges[s["start"] + a] += 1
+            edges[s["start"] + z + least] -= 1
+    gone = np.cumsum(edges)[:-1] > 0
+    first, end = K.runs(gone)
+    kept = [b[a:z] for a, z in zip([0, *end.tolist()], [*first.tolist(), len(b)])]
+    return b, int(gone.sum()), len(first), b"".join(kept)
+
+
+FIGURES = StructType([StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())])
+
+
+def _figures(least: int):
+    @F.pandas_udf(FIGURES)
+    def run(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = [_kept(t, s, least) for t, s in zip(text, spans)]
+        return pd.DataFrame([(len(b), gone, n, hashlib.sha256(kept).hexdigest()) for b, gone, n, kept in rows], columns=FIGURES.names)
+
+    return run
+
+
+def _stripped(least: int):
+    @F.pandas_udf(StringType())
+    def run(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_kept(t, s, least)[3].decode("utf-8", "ignore") if isinstance(t, str) else None for t, s in zip(text, spans)], dtype=object)
 
     return run
 
 
 def _with_spans(docs: DataFrame, **knobs) -> DataFrame:
-    spans = repeated_spans(docs, **knobs).withColumnsRenamed({"doc_id": "__d", "fp": "__f"})
-    return docs.join(spans, docs["doc_id"].eqNullSafe(spans["__d"]) & (F.crc32(docs["text"]) == spans["__f"]), "left").drop("__d", "__f")
+    return keyed(docs).join(repeated_spans(docs, **knobs), ["__d", "__f"], "left").drop("__d", "__f")
 
 
 def removed_repeats(docs: DataFrame, least: int = LEAST, **knobs) -> DataFrame:
@@ -242,15 +248,13 @@ def removed_repeats(docs: DataFrame, least: int = LEAST, **knobs) -> DataFrame:
     cross texts and are judged on the input. Rows that repeat are texts of their own,
     so all their strings repeat. Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_spans(docs, least=least, **knobs).mapInPandas(_strip(least, False), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _with_spans(docs.select("doc_id", "text"), least=least, **knobs)
+    return rows.select("doc_id", _figures(least)("text", "spans").alias("f")).select("doc_id", "f.*")
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, **knobs) -> DataFrame:
     """``docs`` with the repeats cut out of ``text`` (bytes of characters cut in two go too); null texts stay null."""
-    plain = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("__row"), "doc_id", "text")
-    row = plain.schema["__row"].dataType.simpleString()
-    joined = _with_spans(plain, least=least, **knobs).select(F.to_json("__row").alias("__row"), "text", "spans")
-    out = joined.mapInPandas(_strip(least, True), "__row string, __text string, __gone long").select(F.from_json("__row", row).alias("__row"), "__text")
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    # the other columns travel in one struct, whatever their names, and never enter Python
+    plain = docs.select("doc_id", "text", F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("__row"))
+    rows = _with_spans(plain, least=least, **knobs).select("__row", _stripped(least)("text", "spans").alias("__text"))
+    return rows.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
