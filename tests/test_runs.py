@@ -60,3 +60,29 @@ def test_retries_and_errors(spark):
 
 def test_cells():
     assert [reports.show(v, k) for v, k in ((None, ""), (True, ""), (0.5, ""), (0.123, "%"), (0.012, "+%"), (1234, "n"))] == ["—", "yes", "0.5000", "12.3%", "+1.2%", "1,234"]
+
+
+def test_page_replies(spark):
+    from corpuslab.operators import extraction
+
+    data = [(1, '```json\n{"page_number": 9, "lesson_number": "1.1", "content_blocks": [{"block_index": 0, "text_ar": "x"}]}\n```'), (2, "nothing"), (3, "[1]"), (4, '{"error": "blank"}'), (5, '{"content_blocks": "text"}'), (6, None)]
+    parsed = extraction.parse_pages(spark.createDataFrame([("b", *d) for d in data], "book string, page_number int, raw_response string"))
+    assert [(r["page_number"], r["content_blocks"][0]["text_ar"]) for r in extraction.pages(parsed).collect()] == [(1, "x")]
+    assert {r["page_number"]: r["reason"] for r in extraction.failures(parsed).collect()} == {2: "no JSON", 3: "no object", 4: "error: blank", 5: "schema violation", 6: "no JSON"}
+    assert extraction.pending(parsed, extraction.pages(parsed), "book", "page_number").count() == 5
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from corpuslab.__main__ import main
+
+    book(spark).write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "config.json").write_text('{"selection": {"quota": 2}}')
+    common = ["--store", str(tmp_path / "store"), "--config", str(tmp_path / "config.json")]
+    assert main(["evaluate", *common]) == 2
+    assert main(["ingest", "--pages", str(tmp_path / "pages"), *common]) == 0
+    assert main(["questions", *common]) == 0
+    assert main(["evaluate", "--top-k", "3", *common]) == 0 and "| overall |" in capsys.readouterr().out
+    assert main(["judge", *common]) == 0
+    assert main(["ingest", "--dry-run", *common]) == 0 and '"quota": 2' in capsys.readouterr().out
+    (tmp_path / "config.json").write_text('{"nothing": 1}')
+    assert main(["judge", *common]) == 2
