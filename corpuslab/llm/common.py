@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Arrow batches of a few megabytes from now on in this session: a Python worker then holds little at a time, whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their batches beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and the rows outlive executors."""
     spark = df.sparkSession

@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from corpuslab.llm import kernels as K
-from corpuslab.llm.common import bounded_batches
+from corpuslab.llm.common import bounded_batches, release
 
 #: Edits by words of an item; embeddings and sampled positions in each; items of one pass; ratio of lengths of a class.
-TOLERANCE, REPETITIONS, SAMPLES, ITEMS, RATIO = 0.2, 40, 4, 20_000, 1.15
-CHUNK = 1 << 21
+TOLERANCE, REPETITIONS, SAMPLES, ITEMS, RATIO = 0.2, 32, 4, 20_000, 1.15
+CHUNK = 1 << 20
 
 
 def edits(n: int, tolerance: float) -> int:
@@ -218,6 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLER
             found: list[list] = [[] for _ in texts]
             for t, *match in matches(list(texts), shared.value):
                 found[t].append(dict(zip(passage.names, match)))
+            release()
             return pd.Series(found)
 
         return docs.select("doc_id", F.explode(find("text")).alias("m")).select("doc_id", "m.*")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from corpuslab.llm import kernels as K
-from corpuslab.llm.common import bounded_batches
+from corpuslab.llm.common import bounded_batches, release
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: Most labelled texts of a language, and most languages, that a model is fitted on.
@@ -29,7 +29,7 @@ PER_LANGUAGE, LANGUAGES = 800, 64
 EPOCHS, RATE, SEED = 12, 4.0, 7
 #: Share of the calibration texts that may fall below the threshold, and the highest threshold.
 REJECTED, HIGHEST = 0.001, 0.5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -186,6 +186,7 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             best = p.argmax(axis=1)
             pred[some] = np.array(m.languages, dtype=object)[best]
             score[some] = p[np.arange(len(some)), best]
+        release()
         return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": ~solid | (score < m.threshold)})
 
     # other columns never enter Python

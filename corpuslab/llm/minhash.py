@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from corpuslab.llm import kernels as K
-from corpuslab.llm.common import bounded_batches, saved
+from corpuslab.llm.common import bounded_batches, release, saved
 from corpuslab.llm.grouping import resolve
 
 #: Rows and bands: a pair at 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8.
 ROWS, BANDS = 4, 32
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def superminhash(values: np.ndarray, offsets: np.ndarray, registers: int) -> np.ndarray:
@@ -80,6 +80,7 @@ def _sketch(width: int, rows: int, bands: int):
                     key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r].astype(np.uint64))
                 key = K.mix(key + np.arange(bands, dtype=np.uint64))
             out.append(pd.DataFrame({"n_shingles": np.diff(off), "id": digest, "bands": list(key.view(np.int64))}))
+        release()
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"n_shingles": [], "id": [], "bands": []})
 
     return run
@@ -175,6 +176,7 @@ def _sets_checked(width: int):
 
     def run(parts):
         for pdf in inner(parts):
+            release()
             good = [hashlib.blake2b(p, digest_size=16).digest() == bytes(i) for i, p in zip(pdf["id"], pdf["payload"])]
             yield pdf[good]
 

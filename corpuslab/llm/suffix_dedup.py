@@ -23,11 +23,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.bwt import repeated
-from corpuslab.llm.common import bounded_batches, saved
+from corpuslab.llm.common import bounded_batches, release, saved
 
 LEAST, ANCHOR = 200, 64
 #: Bytes of texts hashed at a time; bytes of a block; distinct segments of a key in a block.
-CHUNK, BLOCK, CROWD = 1 << 20, 1 << 18, 2048
+CHUNK, BLOCK, CROWD = 1 << 18, 1 << 18, 2048
 CELLS = (16, 1)
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
@@ -81,6 +81,7 @@ def _anchors(least: int, hashes_only: bool = False):
                 g = [hashlib.blake2b(some[t][a : a + w + least - 1], digest_size=8).digest() for t, a, w in zip(text.tolist(), start.tolist(), windows.tolist())]
                 own = pdf.iloc[lo:hi].take(text)
                 yield pd.DataFrame({"h": h, "g": np.frombuffer(b"".join(g), dtype=np.int64), "doc_id": own["doc_id"].array, "fp": own["fp"].array, "at": start << 16 | windows << 8 | off})
+            release()
 
     return run
 
@@ -148,6 +149,7 @@ def _blocks(least: int, block: int):
                 key = k
         if rows:
             yield solve(rows)
+        release()
 
     return run
 
@@ -222,6 +224,7 @@ FIGURES = StructType([StructField("n_bytes", LongType()), StructField("n_removed
 def _figures(least: int):
     @F.pandas_udf(FIGURES)
     def run(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        release()
         rows = [_kept(t, s, least) for t, s in zip(text, spans)]
         return pd.DataFrame([(len(b), gone, n, hashlib.sha256(kept).hexdigest()) for b, gone, n, kept in rows], columns=FIGURES.names)
 
