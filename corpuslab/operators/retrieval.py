@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 from corpuslab.functions.text import word_tokens
 
 
-def token_rows(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, norm, token)``, a row for each token; ``norm`` is the Euclidean norm of the text's token counts.
+def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, norm, token, tf)``, a row for each distinct token, counted within the row before anything is shuffled.
 
-    The norm comes from one pass over the sorted tokens: a run that grows from r to r + 1
-    adds 2r + 1 to the sum of squares.
+    Sorted tokens are compared with their successors; a token's count is the distance of
+    the ends of runs. ``norm`` is the Euclidean norm of the text's counts. Every step is
+    linear and a projection of its own, so that none is computed again for each token.
     """
-    tokens = word_tokens(F.col(text))
-    start = F.struct(F.lit("").alias("x"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
-    again = lambda a, x: F.when(a["x"] == x, a["run"] + 1).otherwise(F.lit(1).cast("long"))
-    step = lambda a, x: F.struct(x.alias("x"), again(a, x).alias("run"), (a["sum"] + 2 * again(a, x) - 1).alias("sum"))
-    norm = F.aggregate(F.array_sort(tokens), start, step, lambda a: F.sqrt(a["sum"].cast("double")))
-    # the norm is computed below the explode, once for each text
-    return texts.select(key, norm.alias("norm"), tokens.alias("t")).select(key, "norm", F.explode("t").alias("token"))
+    t = texts.select(key, F.sort_array(word_tokens(F.col(text))).alias("t")).where("size(t) > 0")
+    following = F.concat(F.expr("slice(t, 2, size(t) - 1)"), F.array(F.lit(None).cast("string")))
+    t = t.select(key, F.zip_with("t", following, lambda x, y: F.when(~x.eqNullSafe(y), x)).alias("z"))
+    t = t.select(key, F.array_compact(F.transform("z", lambda x, i: F.when(x.isNotNull(), F.struct(x.alias("token"), (i + 1).alias("end"))))).alias("e"))
+    before = F.concat(F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("end"))), F.expr("slice(e, 1, size(e) - 1)"))
+    t = t.select(key, F.zip_with("e", before, lambda x, y: F.struct(x["token"].alias("token"), (x["end"] - y["end"]).cast("long").alias("tf"))).alias("x"))
+    t = t.select(key, F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + (x["tf"] * x["tf"]).cast("double"))).alias("norm"), "x")
+    return t.select(key, "norm", F.explode("x").alias("x")).select(key, "norm", "x.token", "x.tf")
 
 
 def ranked(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
@@ -37,14 +39,14 @@ SENT_CHARS = 16_000_000
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "qa_id", item: str = "chunk_id") -> DataFrame:
     """Cosine of token counts; only chunks that share a token are scored: ``(query, item, rank, score)``.
 
-    A chunk's tokens meet the query terms by broadcast (their size is checked first), each
-    adding its term's count in the query, so only partial sums are shuffled, once.
+    A chunk's terms meet the query terms by broadcast (their size is checked first), so only
+    partial sums are shuffled, once.
     """
-    q = token_rows(queries, query).groupBy(query, "token").agg(F.count("*").alias("qtf"), F.first("norm").alias("qn"))
+    q = term_counts(queries, query).select(query, F.col("norm").alias("qn"), "token", F.col("tf").alias("qtf"))
     if (queries.agg(F.sum(F.length("text"))).first()[0] or 0) <= SENT_CHARS:
         q = F.broadcast(q)
-    both = token_rows(chunks, item).join(q, "token")
-    scored = both.groupBy(query, item).agg(F.sum("qtf").cast("double").alias("dot"), F.first("norm").alias("cn"), F.first("qn").alias("qn"))
+    both = term_counts(chunks, item).join(q, "token")
+    scored = both.groupBy(query, item).agg(F.sum(F.col("qtf") * F.col("tf")).cast("double").alias("dot"), F.first("norm").alias("cn"), F.first("qn").alias("qn"))
     return ranked(scored.select(query, item, (F.col("dot") / (F.col("cn") * F.col("qn"))).alias("score")), query, item, k)
 
 
@@ -59,13 +61,18 @@ QUERY_BLOCK = 4096
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query: str = "qa_id", item: str = "chunk_id") -> DataFrame:
     """Exact cosine of ``values``: the stated queries, in blocks of bounded size, against all rows.
 
-    Each row of ``vectors`` meets a block of queries as an array and keeps nothing; the
-    window's group limit leaves ``k`` rows of each query and task before the shuffle.
-    Null, empty and zero vectors match nothing.
+    Each block is broadcast and scanned for once; the window's group limit leaves ``k`` rows of
+    each query and task before the shuffle. Null, empty and zero vectors match nothing.
     """
     unit = lambda df: df.withColumn("n", F.sqrt(_dot(F.col("values"), F.col("values")))).where("n > 0")
     q = unit(queries.select(query, "values"))
     v = unit(vectors.select(item, "values"))
-    blocks = q.withColumn("block", F.pmod(F.xxhash64(query), F.lit(max(1, -(-queries.count() // QUERY_BLOCK))))).groupBy("block").agg(F.collect_list(F.struct(query, "values", "n")).alias("qs"))
-    pairs = v.join(F.broadcast(blocks)).select(item, "values", "n", F.explode("qs").alias("q"))
-    return ranked(pairs.select(F.col(f"q.{query}").alias(query), item, (_dot(F.col("values"), F.col("q.values")) / (F.col("n") * F.col("q.n"))).alias("score")), query, item, k)
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    q = q.withColumn("block", F.pmod(F.xxhash64(query), F.lit(n)))
+    out = None
+    for i in range(n):
+        block = q.where(F.col("block") == i).groupBy("block").agg(F.collect_list(F.struct(query, "values", "n")).alias("qs"))
+        pairs = v.join(F.broadcast(block)).select(item, "values", "n", F.explode("qs").alias("q"))
+        part = pairs.select(F.col(f"q.{query}").alias(query), item, (_dot(F.col("values"), F.col("q.values")) / (F.col("n") * F.col("q.n"))).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, query, item, k)
