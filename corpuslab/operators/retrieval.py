@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 from corpuslab.functions.text import word_tokens
 
 
-def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, norm, token, tf)``, a row for each distinct token, counted within the row before anything is shuffled.
+def token_rows(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, norm, token)``, a row for each token; ``norm`` is the Euclidean norm of the text's token counts.
 
-    Sorted tokens are compared with their successors; a token's count is the distance of
-    the ends of runs. ``norm`` is the Euclidean norm of the text's counts. Every step is
-    linear and a projection of its own, so that none is computed again for each token.
+    Sorted tokens are compared with their successors; counts are the distances of the ends of
+    runs. Every step is linear and a projection of its own below the explode, so that none is
+    computed again for each token.
     """
-    t = texts.select(key, F.sort_array(word_tokens(F.col(text))).alias("t")).where("size(t) > 0")
-    following = F.concat(F.expr("slice(t, 2, size(t) - 1)"), F.array(F.lit(None).cast("string")))
-    t = t.select(key, F.zip_with("t", following, lambda x, y: F.when(~x.eqNullSafe(y), x)).alias("z"))
-    t = t.select(key, F.array_compact(F.transform("z", lambda x, i: F.when(x.isNotNull(), F.struct(x.alias("token"), (i + 1).alias("end"))))).alias("e"))
-    before = F.concat(F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("end"))), F.expr("slice(e, 1, size(e) - 1)"))
-    t = t.select(key, F.zip_with("e", before, lambda x, y: F.struct(x["token"].alias("token"), (x["end"] - y["end"]).cast("long").alias("tf"))).alias("x"))
-    t = t.select(key, F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + (x["tf"] * x["tf"]).cast("double"))).alias("norm"), "x")
-    return t.select(key, "norm", F.explode("x").alias("x")).select(key, "norm", "x.token", "x.tf")
+    t = texts.select(key, word_tokens(F.col(text)).alias("t"))
+    rows = t.select(key, "t", F.sort_array("t").alias("s"))
+    following = F.concat(F.expr("slice(s, 2, greatest(size(s) - 1, 0))"), F.array(F.lit(None).cast("string")))
+    rows = rows.select(key, "t", F.zip_with("s", following, lambda x, y: ~x.eqNullSafe(y)).alias("last"))
+    rows = rows.select(key, "t", F.filter(F.transform("last", lambda x, i: F.when(x, i + 1).otherwise(F.lit(0))), lambda i: i > 0).alias("ends"))
+    before = F.concat(F.array(F.lit(0)), F.expr("slice(ends, 1, greatest(size(ends) - 1, 0))"))
+    square = F.zip_with("ends", before, lambda x, y: ((x - y) * (x - y)).cast("double"))
+    rows = rows.select(key, "t", F.sqrt(F.aggregate(square, F.lit(0.0), lambda a, x: a + x)).alias("norm"))
+    return rows.select(key, "norm", F.explode("t").alias("token"))
 
 
 def ranked(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
@@ -39,14 +40,14 @@ SENT_CHARS = 16_000_000
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "qa_id", item: str = "chunk_id") -> DataFrame:
     """Cosine of token counts; only chunks that share a token are scored: ``(query, item, rank, score)``.
 
-    A chunk's terms meet the query terms by broadcast (their size is checked first), so only
-    partial sums are shuffled, once.
+    A chunk's tokens meet the query terms by broadcast (their size is checked first), each
+    adding its term's count in the query, so only partial sums are shuffled, once.
     """
-    q = term_counts(queries, query).select(query, F.col("norm").alias("qn"), "token", F.col("tf").alias("qtf"))
+    q = token_rows(queries, query).groupBy(query, "token").agg(F.count("*").alias("qtf"), F.first("norm").alias("qn"))
     if (queries.agg(F.sum(F.length("text"))).first()[0] or 0) <= SENT_CHARS:
         q = F.broadcast(q)
-    both = term_counts(chunks, item).join(q, "token")
-    scored = both.groupBy(query, item).agg(F.sum(F.col("qtf") * F.col("tf")).cast("double").alias("dot"), F.first("norm").alias("cn"), F.first("qn").alias("qn"))
+    both = token_rows(chunks, item).join(q, "token")
+    scored = both.groupBy(query, item).agg(F.sum("qtf").cast("double").alias("dot"), F.first("norm").alias("cn"), F.first("qn").alias("qn"))
     return ranked(scored.select(query, item, (F.col("dot") / (F.col("cn") * F.col("qn"))).alias("score")), query, item, k)
 
 
