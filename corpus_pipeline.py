@@ -22,8 +22,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one that names it (of rows that repeat, one)."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    key = {"__id": F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)), "__none": F.col("doc_id").isNull()}
+    kept = near_duplicates(docs).where("kept").withColumns(key).select(*key).distinct()
+    # the join has brought rows of one id together, so dropping repeats moves nothing
+    left = docs.withColumns(key | {"__text": F.xxhash64("text")}).join(kept, list(key), "left_semi")
+    return left.dropDuplicates([*key, "__text"]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

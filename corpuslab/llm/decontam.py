@@ -194,48 +194,54 @@ def matches(texts: list[str], items: Items) -> list[tuple[int, int, int, int, in
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, repetitions: int = REPETITIONS) -> DataFrame:
-    """``(doc_id, item_id, first_word, n_words, distance)``: passages of ``docs(doc_id, text)`` that match items of ``benchmark(item_id, text)``.
-
-    ``first_word`` counts words from 0. Null texts on either side match nothing, nor
-    do items without words; items of fewer than five words must occur
-    exactly. Items are a stated query set and are held against all rows in
-    blocks of fixed size. Rows that repeat each give their matches; other columns
-    are ignored.
-    """
+def _finders(docs: DataFrame, benchmark: DataFrame, tolerance: float, repetitions: int) -> tuple[list, StructType]:
+    """A function of a text column for each block of items, which lists the passages that match."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text").where("text is not null")
-    item_kind = benchmark.schema["item_id"].dataType
-    passage = StructType([StructField("item_id", item_kind), *[StructField(c, LongType()) for c in ("first_word", "n_words", "distance")]])
-    rows = benchmark.select("item_id", "text").where("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator()
-    out, block = None, []
+    passage = StructType([StructField("item_id", benchmark.schema["item_id"].dataType), *[StructField(c, LongType()) for c in ("first_word", "n_words", "distance")]])
 
-    def search(block):
-        shared = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in block], [r[1] for r in block], tolerance, repetitions))
+    def finder(block):
+        shared = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in block], [r[1] for r in block], tolerance, repetitions))  # of bounded size
 
         @F.pandas_udf(ArrayType(passage))
         def find(texts: pd.Series) -> pd.Series:
             found: list[list] = [[] for _ in texts]
-            for t, *match in matches(list(texts), shared.value):
+            for t, *match in matches([t if isinstance(t, str) else "" for t in texts], shared.value):
                 found[t].append(dict(zip(passage.names, match)))
             release()
             return pd.Series(found)
 
-        return docs.select("doc_id", F.explode(find("text")).alias("m")).select("doc_id", "m.*")
+        return find
 
-    for r in rows:
+    finders, block = [], []
+    for r in benchmark.select("item_id", "text").where("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator():
         block.append(r)
         if len(block) == ITEMS:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
-        last = search(block) if block else docs.limit(0).select("doc_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in passage])
-        out = last if out is None else out.unionByName(last)
+            finders.append(finder(block))
+            block = []
+    return finders + ([finder(block)] if block else []), passage
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, repetitions: int = REPETITIONS) -> DataFrame:
+    """``(doc_id, item_id, first_word, n_words, distance)``: passages of ``docs(doc_id, text)`` that match items of ``benchmark(item_id, text)``.
+
+    ``first_word`` counts words from 0. Null texts on either side match nothing, nor
+    do items without words; items of fewer than five words must occur
+    exactly. Items are a stated query set and are held against all rows in
+    blocks of fixed size. Rows that repeat each give their matches; other columns
+    are ignored.
+    """
+    docs = docs.select("doc_id", "text")
+    finders, passage = _finders(docs, benchmark, tolerance, repetitions)
+    out = docs.limit(0).select("doc_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in passage])
+    for find in finders:
+        part = docs.where("text is not null").select("doc_id", F.explode(find("text")).alias("m")).select("doc_id", "m.*")
+        out = part if find is finders[0] else out.unionByName(part)
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, **knobs) -> DataFrame:
-    """``docs`` without the documents that hold a passage of an item; rows with null ids are matched by their text."""
-    keyed = docs.select("*", F.struct("doc_id", F.xxhash64("text").alias("fp")).alias("__key"))
-    hits = contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, **knobs).select(F.col("doc_id").alias("__hit")).distinct()
-    same = keyed["__key.doc_id"].eqNullSafe(hits["__hit.doc_id"]) & keyed["__key.fp"].eqNullSafe(hits["__hit.fp"])
-    return keyed.join(hits, same, "left_anti").drop("__key")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, repetitions: int = REPETITIONS) -> DataFrame:
+    """``docs`` without the rows that hold a passage of an item: a filter, nothing is joined or shuffled."""
+    out = docs
+    for find in _finders(docs, benchmark, tolerance, repetitions)[0]:
+        out = out.where(F.size(find("text")) == 0)
+    return out

@@ -84,7 +84,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     rows = saved(rows, "queue")
     sums = rows.groupBy("__slice").agg(F.sum("__words").alias("__sw"))
     sums = sums.select("__slice", F.coalesce(F.sum("__sw").over(W.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    rows = rows.join(F.broadcast(sums), "__slice")  # at most four slices to a time unit and one more
+    rows = rows.join(sums, "__slice")
     spent = F.col("__off") + F.sum("__words").over(W.partitionBy("__slice").orderBy("finish", "__key", "epoch", "place").rowsBetween(W.unboundedPreceding, 0)) - F.col("__words")
     done = rows.where(F.col("__off") >= budget).withColumn("words", F.lit(0).cast("long"))
     live = rows.where(F.col("__off") < budget).withColumn("words", F.greatest(F.lit(0), F.least(F.col("__words"), budget - spent)).cast("long"))
