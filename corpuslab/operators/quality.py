@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import character_errors
+from corpuslab.functions.text import squash
 
 
 def cer_rows(sheet: DataFrame, reference: str, hypothesis: str, keys: tuple[str, ...]) -> DataFrame:
     """Edits, length and rate of each row; blank references are skipped."""
-    edits, size, rate = character_errors(F.col(reference), F.col(hypothesis))
-    return sheet.select(*keys, edits.alias("edits"), size.alias("length"), rate.alias("cer")).where("length > 0")
+    plain = sheet.select(*keys, squash(F.col(reference)).alias("__r"), squash(F.col(hypothesis)).alias("__h")).where("__r <> ''")
+    # the distance is a column before its share is taken, so that it is computed once
+    rows = plain.select(*keys, F.levenshtein("__r", "__h").alias("edits"), F.length("__r").alias("length"))
+    return rows.withColumn("cer", F.col("edits") / F.col("length"))
 
 
 def cer_summary(rows: DataFrame, *by: str) -> DataFrame:
