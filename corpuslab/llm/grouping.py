@@ -80,7 +80,7 @@ def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pair
     ``buckets(key, id)``: candidates, each once, cheap to read again; ``payloads(ids)``: ``(id, payload binary)``
     of the ids asked for; ``pairs(list, list)``: which pairs match;
     ``block(list, list)``: the matrix of matches, or None to leave it at pivots. A
-    pivot pair needs ``votes`` shared buckets. Ids that match nothing have no row.
+    pivot pair needs ``votes`` shared buckets; the blocks compare whatever shares one. Ids that match nothing have no row.
     """
     rank = [F.xxhash64(F.lit(s + 1), "id") for s in range(pivots)]
     full = buckets.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("id", r).alias(f"p{i}") for i, r in enumerate(rank))).where("n > 1")
@@ -106,8 +106,8 @@ def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pair
     if block is None:
         return classes
 
-    # members that stand outside the largest class of a bucket of three or more, against the whole bucket
-    at = buckets.where("n > 2").select("key", "id", "n").join(classes, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("c"))
+    # members that stand outside the largest class of a bucket, against the whole bucket; with one vote all buckets of two have been decided
+    at = buckets.where(F.col("n") > (2 if votes == 1 else 1)).select("key", "id", "n").join(classes, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("c"))
     size = at.groupBy("key", "c").agg(F.count("*").alias("k"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
     open_ = size.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("all"), F.sum("h").alias("h")).where("most < all")
     # buckets of the same members are compared once

@@ -20,8 +20,8 @@ from corpuslab.llm.common import bounded_batches, saved
 from corpuslab.llm.grouping import resolve
 
 SCALES, CORNERS, TESTS = (1.0, 1.5, 2.25), 20, 256
-TABLES, BITS = 3, 32
-#: Shared keys that propose a pair; most differing tests of a match; corners that must agree; pixels they may be off.
+TABLES, BITS = 6, 32
+#: Shared keys that ask for a pivot first; most differing tests of a match; corners that must agree; pixels they may be off.
 VOTES, NEAR, AGREE, OFF = 2, 40, 8, 3.0
 RADIUS = 9
 _rng = np.random.default_rng(5)
@@ -148,15 +148,37 @@ def same_scene(u: bytes, v: bytes) -> bool:
     return bool((off <= OFF).sum(axis=1).max() >= AGREE)
 
 
+def same_scenes(us: list[bytes], vs: list[bytes], rows: int = 16) -> np.ndarray:
+    """The matrix of :func:`same_scene`; pairs without ``AGREE`` corners that are near any of the other's can't match and aren't aligned."""
+    out = np.zeros((len(us), len(vs)), dtype=bool)
+    signs = lambda tests: np.unpackbits(np.concatenate(tests), axis=1).astype(np.float32) * 2 - 1
+    mine, theirs = [_unpack(u)[1] for u in us], [_unpack(v)[1] for v in vs]
+    some = [j for j, t in enumerate(theirs) if len(t)]
+    if not some:
+        return out
+    other = signs([theirs[j] for j in some])
+    starts = np.cumsum([0, *(len(theirs[j]) for j in some[:-1])])
+    for lo in range(0, len(us), rows):
+        here = [i for i in range(lo, min(lo + rows, len(us))) if len(mine[i])]
+        if not here:
+            continue
+        near = signs([mine[i] for i in here]) @ other.T >= TESTS - 2 * NEAR
+        near = np.logical_or.reduceat(near, starts, axis=1)
+        count = np.add.reduceat(near.astype(np.int32), np.cumsum([0, *(len(mine[i]) for i in here[:-1])]), axis=0)
+        for a, b in np.argwhere(count >= AGREE).tolist():
+            out[here[a], some[b]] = same_scene(us[here[a]], vs[some[b]])
+    return out
+
+
 def image_copies(images: DataFrame) -> DataFrame:
     """``(id, n_corners, component_id, kept)``, a row for each row of ``images(id, image)``.
 
     Copies, directly or through others, share the smallest id; equal bytes are always
     copies. Null, empty, damaged or flat images have no corners and are copies of
     equal bytes only; null images of nothing. Rows that repeat each get their row. Null ids take part but name a
-    component only if it has no other; other columns are ignored. Pairs are
-    proposed by pivots of shared keys, so a copy is missed if it shares fewer than two
-    keys with every pivot that it meets.
+    component only if it has no other; other columns are ignored. Images that share
+    a key are compared, by pivots or in blocks, unless they are already of one class; a
+    copy is missed only if it shares no key with any of its class.
     """
     bounded_batches(images.sparkSession)
     images = images.select("id", "image")
@@ -183,7 +205,7 @@ def image_copies(images: DataFrame) -> DataFrame:
         return found.select("id", "payload").join(ids, "id", "left_semi").groupBy("id").agg(F.first("payload").alias("payload"))
 
     pairs = lambda us, vs: [same_scene(u, v) for u, v in zip(us, vs)]
-    roots = resolve(buckets, payloads, pairs, None, votes=VOTES, pivots=1)
+    roots = resolve(buckets, payloads, pairs, same_scenes, votes=VOTES)
     named = roots.join(classes.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("named"))
     named = roots.join(named, "root").select("id", "named")
     out = found.select("own", "n_corners", "id").join(classes.select("id", "least"), "id", "left").join(named, "id", "left")

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,28 @@ def test_image_copies(spark):
     assert truth >= 0.95 * 24 and all(got[i][3] for i in range(48) if i % 4 in (0, 3))
     assert got[100][2] == 0 and all(got[i][2] == i and got[i][1] == 0 for i in (101, 102, 103, 104, 105))
     assert media.image_copies(df.limit(0)).count() == 0
+
+
+def payload(pixels):
+    corners, tests = media.describe(pixels)
+    return np.concatenate((corners.view(np.uint8).reshape(len(corners), 16), tests), axis=1).tobytes()
+
+
+def test_copies_with_a_common_logo_equal_all_pairs(spark):
+    logo = media.resize(np.random.default_rng(1).uniform(0, 255, (3, 3)), 26, 26)
+    pixels = [media.decode(media.render(i)).copy() for i in range(120)]
+    for x in pixels:
+        x[-26:, -26:] = logo
+    payloads = [payload(x) for x in map(media.decode, map(media.encode, pixels))]
+    hits = np.array([[media.same_scene(u, v) for v in payloads] for u in payloads])
+    assert (media.same_scenes(payloads, payloads) == hits).all()
+    root = list(range(120))
+    for u, v in np.argwhere(hits | hits.T).tolist():
+        a, b = sorted((root[u], root[v]))
+        root = [a if r == b else r for r in root]
+    assert len(set(root)) > 25  # the logo alone makes no copies
+    df = spark.createDataFrame([(i, media.encode(x)) for i, x in enumerate(pixels)], "id long, image binary")
+    got = dict(rows(media.image_copies(df).select("id", "component_id")))
+    pairs = {(u, v) for u in range(120) for v in range(u) if root[u] == root[v]}
+    found = {(u, v) for u, v in pairs if got[u] == got[v]}
+    assert len(found) >= 0.98 * len(pairs) and all(root[u] == root[v] for u in got for v in got if got[u] == got[v])
