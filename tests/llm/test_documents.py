@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -288,3 +289,43 @@ def test_licences(spark, documents):
     plan = licences.scan_licences(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert licences.scan_licences(documents).count() == documents.count() and licences.scan_licences(documents.limit(0)).count() == 0
+
+
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.
+"""
+GNU = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful."
+CANONICAL = [
+    (BSD, ["BSD-3-Clause", "BSD-2-Clause"]),
+    ("MIT License\n\nCopyright (c) 2020 Someone\n\n" + MIT, ["MIT"]),
+    (GNU.format("program", ":", "", ",", "3"), ["GPL-3.0"]),
+    (GNU.format("program", ";", "", ";", "2"), ["GPL-2.0"]),
+    (GNU.format("library", ";", "Lesser ", ";", "2.1"), ["LGPL-2.1"]),
+    (GNU.format("program", ":", "Affero ", ",", "3"), ["AGPL-3.0"]),
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright (C) 2007", ["GPL-3.0"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["ISC"]),
+    ("Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM", ["EPL-2.0"]),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", ["Unlicense"]),
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0', ["Apache-2.0"]),
+]
+
+
+@pytest.mark.parametrize("width", [None, 40, 72])
+@pytest.mark.parametrize("mark", ["", " * "])
+def test_unmodified_licences(spark, width, mark):
+    wrap = lambda t: "\n".join(mark + x for p in t.split("\n") for x in (textwrap.wrap(p, width) if width and len(p) > width else [p]))
+    df = spark.createDataFrame([(i, wrap(t)) for i, (t, _) in enumerate(CANONICAL)], "doc_id int, text string")
+    assert [r[0] for r in rows(licences.scan_licences(df).select("doc_id", "licences"), "doc_id")] == list(range(len(CANONICAL)))
+    assert [r[1] for r in rows(licences.scan_licences(df).select("doc_id", "licences"), "doc_id")] == [w for _, w in CANONICAL]
