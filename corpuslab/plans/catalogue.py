@@ -155,15 +155,25 @@ def ordered_union(spark, sf):
     return rows.select("page_number", "block_index", F.array_join("u", "|").alias("united"))
 
 
-@query
-def block_table(spark, sf):
+def _block_table(spark, sf) -> DataFrame:
     """Pages with nested blocks, exploded: the scan that samplers and chunkers share."""
     rows = A.blocks(spark, sf)
     nested = rows.groupBy("book", "page_number").agg(F.array_sort(F.collect_list(F.struct("block_index", "content_type", "text_ar"))).alias("content_blocks"))
-    out = readers.blocks(nested).where(readers.in_range(F.col("page_number"), 10, 500) & (F.col("content_type") != "other"))
+    out = readers.blocks(nested).where("content_type <> 'other'")
     return out.select("book", "page_number", "block_index", "content_type", F.length("text_ar").cast("long").alias("n_chars"))
 
 
+@query
+def block_table(spark, sf):
+    """A page range, as its SQL has it; :func:`block_table_full` is the whole table."""
+    return _block_table(spark, sf).where(readers.in_range(F.col("page_number"), 10, 500))
+
+
+@query
+def block_table_full(spark, sf):
+    return _block_table(spark, sf)
+
+
 @query
 def sample_blocks(spark, sf):
     """A sampling operator: its limit is the feature."""

@@ -51,6 +51,16 @@ def test_merged_blocks_hold_every_block_once(spark):
     assert ids.count() == ids.distinct().count() == QUERIES["block_ids"](spark, SF).count()
 
 
+def test_block_table_is_whole(spark, duck):
+    sf = "/root/testdata/sf0.01"
+    got = {(r["page_number"], r["block_index"]) for r in QUERIES["block_table_full"](spark, sf).collect()}
+    part = {(r["page_number"], r["block_index"]) for r in QUERIES["block_table"](spark, sf).collect()}
+    assert part == {x for x in got if 10 <= x[0] <= 500} and max(got)[0] > 500 and min(got)[0] < 10
+    pages = spark.createDataFrame([("9",), ("10",), ("500",), ("501",), ("x",), (None,)], "p string")
+    inside = lambda *r: [x["p"] for x in pages.where(readers.in_range(F.col("p"), *r)).collect()]
+    assert inside(10, 500) == ["10", "500"] and inside(0, None) == ["9", "10", "500", "501"]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
