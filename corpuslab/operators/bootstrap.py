@@ -25,13 +25,15 @@ def bounds(resamples: int, confidence: float) -> tuple[int, int]:
 def bootstrap(differences: DataFrame, resamples: int = 2000, confidence: float = 0.95, seed: int = 7) -> DataFrame:
     """``(metric, n, mean, lower, upper)``; draws are hashes of seed, resample and draw, so reruns and other engines agree.
 
-    A metric's differences travel as one array in order of questions (a question set is
-    small); resamples are dealt out as rows, so their number scales by tasks.
+    A metric's differences are broadcast as one array in order of questions (eight bytes
+    each); resamples are dealt out as rows over the tasks.
     """
     base = differences.groupBy("metric").agg(F.transform(F.array_sort(F.collect_list(F.struct("qa_id", "difference"))), lambda x: x["difference"]).alias("d"))
     base = base.withColumn("n", F.size("d")).where("n > 0")
     low, high = bounds(resamples, confidence)
-    rows = base.select("metric", "d", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")) if resamples > 0 else base.withColumn("b", F.lit(0)).where("false")
+    spark = differences.sparkSession
+    tries = spark.range(0, max(0, resamples), 1, max(1, min(resamples, spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("b"))
+    rows = tries.crossJoin(F.broadcast(base))
     draw = lambda i: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), i.cast("string")), 256), 1, 8), 16, 10).cast("long"), F.col("n")).cast("int")
     total = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda s, i: s + F.get("d", draw(i)))
     means = rows.select("metric", (total / F.col("n")).alias("m")).withColumn("r", F.row_number().over(W.partitionBy("metric").orderBy("m")) - 1)

@@ -505,11 +505,16 @@ def paired_differences(spark, sf):
 
 @query
 def paired_bootstrap(spark, sf):
-    """Question sets are small by nature: the first hundred questions with labels, as in a run of a hundred questions."""
+    """The first hundred questions and 200 resamples, as its SQL has them; :func:`paired_bootstrap_full` takes all."""
     d = bootstrap.paired_differences(_mock_pairs(spark, sf), "proposed", "b2")
     return bootstrap.bootstrap(quality.first(d, 100, "qa_id"), resamples=200)
 
 
+@query
+def paired_bootstrap_full(spark, sf):
+    return bootstrap.bootstrap(bootstrap.paired_differences(_mock_pairs(spark, sf), "proposed", "b2"))
+
+
 def _cer(spark, sf) -> DataFrame:
     """Conversation turns against themselves with letters changed; characters outside ASCII go, as the oracle counts bytes."""
     plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")

@@ -1,6 +1,7 @@
 """Sources, sinks, streams, and the registered queries against their SQL."""
 
 import glob
+import hashlib
 import json
 import os
 
@@ -9,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from corpuslab.operators import bootstrap
+from corpuslab.plans import catalogue
 from corpuslab.plans.catalogue import QUERIES
 from corpuslab.plans.oracles import ORACLES
 from corpuslab.sources import readers, writers
@@ -61,6 +64,16 @@ def test_block_table_is_whole(spark, duck):
     assert inside(10, 500) == ["10", "500"] and inside(0, None) == ["9", "10", "500", "501"]
 
 
+def test_bootstrap_of_all_pairs_equals_brute_force(spark):
+    d = [r["difference"] for r in bootstrap.paired_differences(catalogue._mock_pairs(spark, SF), "proposed", "b2").orderBy("qa_id").collect()]
+    n = len(d)
+    draw = lambda b, i: int(hashlib.sha256(f"7-{b}-{i}".encode()).hexdigest()[:8], 16) % n
+    means = sorted(sum(d[draw(b, i)] for i in range(n)) / n for b in range(2000))
+    got = QUERIES["paired_bootstrap_full"](spark, SF).first()
+    assert got["n"] == n and tuple(got)[2:] == pytest.approx((sum(d) / n, means[50], means[1949]), abs=2e-6)
+    assert QUERIES["paired_bootstrap_full"](spark, "/root/testdata/sf0.01").first()["n"] > 100
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
