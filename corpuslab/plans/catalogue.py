@@ -515,21 +515,39 @@ def paired_bootstrap_full(spark, sf):
     return bootstrap.bootstrap(bootstrap.paired_differences(_mock_pairs(spark, sf), "proposed", "b2"))
 
 
-def _cer(spark, sf) -> DataFrame:
-    """Conversation turns against themselves with letters changed; characters outside ASCII go, as the oracle counts bytes."""
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    t = A.table(spark, sf, "conversations").select("conv_id", "turn", "role", plain.alias("truth"), F.regexp_replace(F.translate(plain, "eo", "o"), "th", "t").alias("reading"))
+def _cer(spark, sf, text_: F.Column) -> DataFrame:
+    """Conversation turns against themselves with letters changed."""
+    t = A.table(spark, sf, "conversations").select("conv_id", "turn", "role", text_.alias("truth"), F.regexp_replace(F.translate(text_, "eo", "o"), "th", "t").alias("reading"))
     return quality.cer_rows(t, "truth", "reading", ("conv_id", "turn", "role"))
 
 
+def _ascii() -> F.Column:
+    """For the queries with SQL, which counts bytes: characters outside ASCII go."""
+    return F.regexp_replace("text", r"[^\x00-\x7F]", "")
+
+
+def _cer_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("conv_id", "turn", F.col("edits").cast("long").alias("edits"), F.col("length").cast("long").alias("length"), F.round("cer", 6).alias("cer"))
+
+
 @query
 def cer_blocks(spark, sf):
-    return _cer(spark, sf).select("conv_id", "turn", F.col("edits").cast("long").alias("edits"), F.col("length").cast("long").alias("length"), F.round("cer", 6).alias("cer"))
+    return _cer_rows(_cer(spark, sf, _ascii()))
+
+
+@query
+def cer_blocks_full(spark, sf):
+    return _cer_rows(_cer(spark, sf, F.col("text")))
 
 
 @query
 def cer_summary(spark, sf):
-    return quality.cer_summary(_cer(spark, sf), "role")
+    return quality.cer_summary(_cer(spark, sf, _ascii()), "role")
+
+
+@query
+def cer_summary_full(spark, sf):
+    return quality.cer_summary(_cer(spark, sf, F.col("text")), "role")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

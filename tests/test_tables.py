@@ -74,6 +74,26 @@ def test_bootstrap_of_all_pairs_equals_brute_force(spark):
     assert QUERIES["paired_bootstrap_full"](spark, "/root/testdata/sf0.01").first()["n"] > 100
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_error_rates_of_whole_texts(spark, tmp_path):
+    texts = ["the ñandú eats thé cake", "كتاب the جديد", "مثلث", "один the two", "", None, "😀 other"]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {i: (edits(t, t.replace("e", "\0").replace("o", "").replace("\0", "o").replace("th", "t")), len(t)) for i, t in enumerate(texts) if t}
+    got = {r["conv_id"]: (r["edits"], r["length"]) for r in QUERIES["cer_blocks_full"](spark, str(tmp_path)).collect()}
+    assert got == want
+    one = QUERIES["cer_summary_full"](spark, str(tmp_path)).first()
+    assert one["n"] == 5 and one["micro_cer"] == pytest.approx(sum(e for e, _ in want.values()) / sum(n for _, n in want.values()), abs=1e-6)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
