@@ -27,8 +27,10 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from corpuslab.llm import kernels as K
 from corpuslab.llm.common import bounded_batches, release
 
-#: Edits by words of an item; embeddings and sampled positions in each; items of one pass; ratio of lengths of a class.
+#: Edits by words of an item; least embeddings, and sampled positions in each; items of one pass; ratio of lengths of a class.
 TOLERANCE, REPETITIONS, SAMPLES, ITEMS, RATIO = 0.2, 32, 4, 20_000, 1.15
+#: Share of a class's items with the most edits that its embeddings must find, trials that it is taken over, embeddings at which a class stops.
+RECALL, TRIALS, MOST = 0.99, 400, 512
 CHUNK = 1 << 20
 
 
@@ -57,16 +59,55 @@ class Items:
             high = len(self.items[mine[-1]][1])
             steps = 2 * low
             plans = []
-            for _ in range(repetitions):
-                # one position from each stretch of the walk; the first is short, as most windows end there
-                cuts = np.concatenate(([0], np.linspace(max(1, steps // 12), steps, min(samples, steps)))).astype(int)
+            # the class's own numbers of words; others are as good as unknown
+            used = np.unique(np.concatenate([self.items[i][1] for i in mine]))
+            own = np.zeros(len(self.vocabulary) + 1, dtype=np.int32)
+            own[used] = np.arange(1, len(used) + 1)
+            words = {i: own[self.items[i][1]] for i in mine}
+            missed, given = self._trials(words, rng)
+            # embeddings are added until enough of the trials are found, as longer items need more of them
+            while len(plans) < repetitions or len(missed) > (1 - RECALL) * given and len(plans) < MOST:
+                # one position from each stretch of the walk; the first is short, as most windows end there, but longer than an edit
+                cuts = np.concatenate(([0], np.linspace(min(max(4, steps // 12), steps), steps, min(samples, steps)))).astype(int)
                 where = np.array([rng.integers(a, max(a + 1, b)) for a, b in zip(cuts[:-1], cuts[1:])])
-                bits = rng.integers(0, 2, (int(where[-1]) + 1, len(self.vocabulary) + 1), dtype=np.int8)
-                plans.append((where, bits, *self._tree([(self._walk(self.items[i][1], where, bits), i) for i in mine])))
-            own = np.zeros(len(self.vocabulary) + 1, dtype=bool)
-            own[np.concatenate([self.items[i][1] for i in mine])] = True
+                bits = rng.integers(0, 2, (int(where[-1]) + 1, len(used) + 1), dtype=np.int8)
+                keys = {i: self._walk(words[i], where, bits) for i in mine}
+                plans.append((where, bits, *self._tree([(keys[i], i) for i in mine])))
+                missed = self._missed(missed, keys, where, bits)
             self.classes.append((low, high, own, plans))
 
+    def _trials(self, items: dict[int, np.ndarray], rng: np.random.Generator) -> tuple[list[tuple[int, np.ndarray]], int]:
+        """Items of a class with the most edits allowed: words replaced, dropped and put in."""
+        out, mine = [], list(items)
+        for t in range(TRIALS):
+            i = mine[t % len(mine)]
+            words = items[i].tolist()
+            for _ in range(edits(len(words), self.tolerance)):
+                at = int(rng.integers(len(words)))
+                words[at : at + 1] = [[], [0], [0, words[at]]][rng.integers(3)]
+            out.append((i, np.array(words, dtype=np.int32)))
+        return out, len(out)
+
+    def _missed(self, trials: list[tuple[int, np.ndarray]], keys: dict[int, tuple], where: np.ndarray, bits: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """The trials of which no window has its item's key."""
+        if not trials:
+            return trials
+        starts = [min(len(w), 1 + edits(len(self.items[i][1]), self.tolerance)) for i, w in trials]
+        text = np.zeros((len(trials), max(len(w) for _, w in trials) + len(bits) + 1), dtype=np.int32)
+        for row, (_, w) in zip(text, trials):
+            row[: len(w)] = w
+        trial = np.repeat(np.arange(len(trials)), starts)
+        place = np.concatenate([np.arange(n) for n in starts])
+        good, want, sample = np.ones(len(trial), dtype=bool), np.array([keys[i] for i, _ in trials]), 0
+        for step in range(len(bits)):
+            word = text[trial, place]
+            if step == where[sample]:
+                good &= word == want[trial, sample]
+                sample += 1
+            place = place + bits[step, word]
+        found = np.bincount(trial[good], minlength=len(trials)) > 0
+        return [t for t, f in zip(trials, found) if not f]
+
     @staticmethod
     def _walk(words: np.ndarray, where: np.ndarray, bits: np.ndarray) -> tuple:
         place, out, wanted = 0, [], set(where.tolist())
@@ -74,7 +115,7 @@ class Items:
             word = int(words[place]) if place < len(words) else 0
             if step in wanted:
                 out.append(word)
-            place += bits[step, word]
+            place += int(bits[step, word])
         return tuple(out)
 
     @staticmethod
@@ -103,11 +144,11 @@ class Items:
     def candidates(self, words: np.ndarray) -> np.ndarray:
         """Pairs (start of a window, number of the item) whose keys agree; ``words`` has zeros after each text."""
         found = []
-        padded = np.concatenate((words, np.zeros(1, dtype=np.int32)))
         last = len(words)
         for low, high, own, plans in self.classes:
             # an item has at most a few words that the text lacks, and they are of its class's vocabulary
-            known = np.concatenate(([0], np.cumsum(own[words], dtype=np.int32)))
+            padded = np.concatenate((own[words], np.zeros(1, dtype=np.int32)))
+            known = np.concatenate(([0], np.cumsum(padded[:-1] > 0, dtype=np.int32)))
             reach = high + edits(high, self.tolerance)
             ends = np.minimum(np.arange(last) + reach, last)
             alive = np.flatnonzero(known[ends] - known[:-1] >= low - edits(low, self.tolerance))

@@ -247,6 +247,22 @@ def test_contamination_recall_and_precision(spark):
     assert len(found & truth) >= 0.95 * len(truth) and all((n, i) in found for n, i in truth if n % 4 == 0)
 
 
+@pytest.mark.parametrize("size", [8, 15, 40, 59, 100, 160])
+def test_recall_at_the_tolerance(size):
+    rng = random.Random(size)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [" ".join(rng.choices(vocabulary, k=size)) for _ in range(20)]
+    docs = []
+    for n in range(200):
+        w = items[n % 20].split()
+        for _ in range(size // 5):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["zz"], ["zz", w[k]]])
+        docs.append(" ".join(rng.choices(vocabulary, k=30) + w + rng.choices(vocabulary, k=30)))
+    got = {r[:2] for r in decontam.matches(docs, decontam.Items(list(range(20)), items))}
+    assert sum((n, n % 20) in got for n in range(200)) >= 0.96 * 200
+
+
 def test_contamination_on_odd_tables(spark, documents):
     items = spark.createDataFrame([(1, "The cat sat on the mat, and looked at the dog for a while."), (2, None), (3, "..."), (4, "one"), (None, "one")], "item_id long, text string")
     assert sorted(r[:2] for r in rows(decontam.contaminated(documents, items))) == [(1, 1), (2, 1), (2, 1), (10, 4)]
