@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
-The first pass labels each block by the places it stands in, its link density, length and
-stop-word density: good, bad, or undecided if it is short. The second pass
-gives undecided blocks the label of their nearest decided neighbours.
+The first pass labels each block by its link density, length and
+stop-word density: good, bad, or undecided if it is short. Standing in an article's
+element lowers what is asked of a block, and standing outside the page's articles raises it. The second pass
+gives undecided blocks the label of their nearest decided neighbours of the same kind of place.
 """
 
 from __future__ import annotations
@@ -24,6 +25,22 @@ STOP_WORDS = frozenset(
     au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une vous
     al como con cual del el ella entre era es esta fue ha hay la las lo los más me mi muy no nos o para pero por que se ser si sin sobre su sus también una uno y ya""".split()
 )
+# Frequent function words of further languages, each held against a block on its own.
+OTHER_WORDS = tuple(
+    frozenset(w.split())
+    for w in (
+        "a ai al alla anche che chi ci come con cui da dal dalla dei del della delle di e è ed gli ha hanno i il in io la le lo loro ma nel nella non o per più quando questa questo se si sono su sua suo tra un una uno",
+        "a ao aos as com como da das de do dos e é ela ele em entre era essa esta eu foi há isso já mais mas não na nas no nos o os ou para pela pelo por que se sem ser seu sua são também um uma",
+        "aan al als bij dan dat de der deze die dit door een en er geen had heeft het hij hun ik in is je kan maar meer met naar niet nog of om onder ook op over te toen tot uit van veel voor was wat werd wordt ze zich zijn",
+        "a ale bo był była było by być co czy dla do gdy go i ich im jak jako je jego jej jest już ku lub ma może na nad nie o od oraz po pod przez przy są się tak także tego ten to tym w we z za ze że",
+        "а без был была были было быть в вы где да для до его ее если есть же за и из или им их к как ко когда который ли мы на не него нет но о об он она они от по под при с со так также то только у что чтобы это этот я",
+        "att av de den det där eller en ett från för ha han har hade hon i inte jag kan med men när och om på sig sin som så till under upp var vi vid är över",
+        "bir bu çok da daha de değil diye en gibi her için ile ise kadar ki mi ne o olan olarak oldu olduğu sonra şey var ve veya ya",
+    )
+)
+# Letters of scripts that are written without spaces, and marks that end sentences.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
+ENDS = re.compile("[.!?\u3002\uff01\uff1f\u0964\u06d4\u061f\u104b]")
 # Elements that are never text of an article, and those that start a block.
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object svg math canvas audio video dialog menu datalist figure-embed map".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -137,22 +154,39 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
     return found
 
 
-def _first_pass(text: str, b: Block, in_article: bool) -> str:
-    if b.bad or in_article and not b.article:
-        return "bad"
+def _words(text: str) -> tuple[list[str], int]:
+    """Lower-cased words, and their number; two letters of a script without spaces count as one."""
     words = [w.lower() for w in WORDS.findall(text)]
+    return words, sum(max(1, len(w) // 2) if UNSPACED.match(w) else 1 for w in words)
+
+
+def _density(words: list[str]) -> float:
+    """Stop words' share, by the list that fits best."""
+    return max(sum(w in known for w in words) for known in (STOP_WORDS, *OTHER_WORDS)) / max(1, len(words))
+
+
+def _first_pass(text: str, b: Block, in_article: bool, fits: bool) -> str:
+    if b.bad:
+        return "bad"
+    words, size = _words(text)
     solid = len("".join(text.split()))
     if b.linked > MOST_LINKS * solid:
         # a link alone in running text is a short block; a list of links is furniture
         return "bad" if len(words) > 1 or not b.article else "short"
-    if in_article:
-        return "short" if len(words) < SHORT else "good"
-    if len(words) < SHORT:
+    if size < SHORT:
         return "short"
-    share = sum(w in STOP_WORDS for w in words) / len(words)
-    if share >= MANY or len(words) >= LONG and share >= FEW:
+    if not fits:
+        # a language without a list: length and sentences
+        return "good" if (b.article or size >= LONG) and ENDS.search(text) else "short"
+    share = _density(words)
+    if b.article:
+        # sentences of few stop words go by their neighbours; a list of words does not
+        return "good" if share >= FEW or size < LONG and share >= FEW / 2 else "short" if size < LONG or ENDS.search(text) else "bad"
+    if in_article:
+        return "good" if size >= LONG and share >= MANY else "short" if size < LONG else "bad"
+    if share >= MANY or size >= LONG and share >= FEW:
         return "good"
-    return "short" if len(words) < LONG else "bad"
+    return "short" if size < LONG else "bad"
 
 
 def main_text(page: str | None) -> str:
@@ -161,25 +195,26 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks_of(page)
     in_article = any(b.article and not b.bad for _, b in found)
-    labels = [_first_pass(t, b, in_article) for t, b in found]
+    fits = _density(_words(" ".join(t for t, b in found if not b.bad))[0]) >= FEW
+    labels = [_first_pass(t, b, in_article, fits) for t, b in found]
     places = [b.article for _, b in found]
     keep = []
     for i, label in enumerate(labels):
         if label == "short":
-            near = []
+            near, inside = [], places[i]
             for step in (-1, 1):
                 j = i + step
                 # neighbours of the same container count; furniture inside an article says nothing of its text
-                while 0 <= j < len(labels) and (labels[j] == "short" or in_article and (not places[j] or found[j][1].bad)):
+                while 0 <= j < len(labels) and (labels[j] == "short" or places[j] != inside and not found[j][1].bad or inside and (not places[j] or found[j][1].bad)):
                     j += step
                 if 0 <= j < len(labels):
                     near.append((abs(j - i), labels[j]))
             if not near:
-                label = "good" if in_article else "bad"
+                label = "good" if inside else "bad"
             elif len(near) == 2 and near[0][1] != near[1][1]:
-                label = "good" if in_article or found[i][1].heading and near[1][1] == "good" else min(near)[1] if near[0][0] != near[1][0] else "bad"
+                label = "good" if inside or found[i][1].heading and near[1][1] == "good" else min(near)[1] if near[0][0] != near[1][0] else "bad"
             else:
-                label = near[0][1] if not in_article or near[0][1] == "good" else "bad"
+                label = near[0][1] if not inside or near[0][1] == "good" else "bad"
         if label == "good":
             keep.append(found[i][0])
     return "\n\n".join(keep)

@@ -83,6 +83,35 @@ def test_main_text_without_article():
     assert html_extract.main_text(page).split("\n\n") == ["A heading", (body * 3).strip(), "Yes.", (body * 2).strip()]
 
 
+def test_main_text_beside_cards():
+    body = "The story of the town is told by all who live in it, and it is a long one that was passed on from the old to the young. "
+    cards = "".join(f"<article><h3>Card {i}</h3><p><a href=x>Read more of card {i}</a></p></article>" for i in range(3))
+    page = f"<body><div><div>{body * 3}</div><div>{body * 2}</div></div>{cards}</body>"
+    got = html_extract.main_text(page).split("\n\n")
+    assert [(body * 3).strip(), (body * 2).strip()] == got[:2] and not any("Read more" in x for x in got)
+
+
+def test_density_within_an_article():
+    body = "The story of the town is told by all who live in it, and it is a long one that was passed on from the old to the young. "
+    tags = " ".join(f"keyword{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    page = f"<article><p>{body * 2}</p><div>{tags}</div><p>{body}</p></article>"
+    assert html_extract.main_text(page).split("\n\n") == [(body * 2).strip(), body.strip()]
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "Город стоит на берегу реки, и в нём живут люди, которые помнят, как он был построен. Они говорят, что это было давно, но не забыто. ",
+        "Miasto leży nad rzeką i mieszkają w nim ludzie, którzy pamiętają, jak zostało zbudowane. Mówią oni, że to było dawno, ale nie jest zapomniane. ",
+        "这座城市坐落在河边，住在那里的人们还记得它是怎样建成的。他们说这是很久以前的事，但没有被忘记。",
+        "Kaupunki sijaitsee joen rannalla, ja siellä asuu ihmisiä, jotka muistavat sen rakentamisen. He sanovat, että siitä on kauan, mutta sitä ei unohdeta. ",
+    ],
+)
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_main_text_of_other_languages(body, tag):
+    assert html_extract.main_text(f"<div><a href=x>A</a> <a href=y>B</a></div><{tag}><p>{body * 3}</p><p>{body * 2}</p></{tag}>").split("\n\n") == [(body * 3).strip(), (body * 2).strip()]
+
+
 def test_extraction_on_odd_tables(spark, pages):
     got = {r[0]: r for r in rows(html_extract.extract_main_text(pages)) if r[0]}
     assert got[5][2:] == ("", 0) and got[6][2:] == ("", 0)
