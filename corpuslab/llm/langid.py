@@ -4,8 +4,9 @@ A text's features are hashes of the byte 2- to 4-grams of its lower-cased words,
 word edges included. Their embeddings are averaged and classified by a
 softmax; both layers are trained together by stochastic gradient descent in
 numpy on a bounded sample of labelled rows. On a held-back part of that sample the
-scores are calibrated by a temperature, and a rejection threshold is set so
-that hardly any text of a known language falls below it.
+scores are calibrated by a temperature, and a rejection threshold of the lead of the
+best language over the mean is set between the texts of known languages and texts of
+none: languages left out of a fit, and random letters.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from corpuslab.llm import kernels as K
 from corpuslab.llm.common import bounded_batches, release
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (2, 3, 4)
-#: Most labelled texts of a language, and most languages, that a model is fitted on.
+#: Most labelled texts of a language that a model is fitted on; with more languages than the second each has fewer.
 PER_LANGUAGE, LANGUAGES = 800, 64
 EPOCHS, RATE, SEED = 12, 4.0, 7
-#: Share of the calibration texts that may fall below the threshold, and the highest threshold.
-REJECTED, HIGHEST = 0.001, 0.5
+#: Share of the rightly classified calibration texts that may fall below the threshold; share of foreign texts that should; fits that leave languages out; texts of a language in these.
+REJECTED, FOREIGN, FOLDS, FEW = 0.001, 0.95, 4, 200
 CHUNK = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -46,7 +47,7 @@ class Model:
     table: np.ndarray  # buckets x languages: the embeddings times the softmax's weights
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    threshold: float = 0.0  # of the lead
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +94,54 @@ def softmax(x: np.ndarray, temperature: float) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def lead(x: np.ndarray) -> np.ndarray:
+    """How far the best unscaled score is above the mean of all: texts between two known languages have a lead, too, foreign ones little."""
+    return x.max(axis=1) - x.mean(axis=1)
+
+
+def _foreign(texts: list[str], labels: list[str], known: list[str], model: Model, seed: int) -> np.ndarray:
+    """Leads of texts of no known language: of the languages left out of further fits, and of random letters of the texts."""
+    rng = np.random.default_rng(seed)
+    out, taken = [], {}
+    some = []
+    for i in rng.permutation(len(texts)).tolist():
+        taken[labels[i]] = taken.get(labels[i], 0) + 1
+        if taken[labels[i]] <= FEW:
+            some.append(i)
+    for fold in range(min(FOLDS, len(known))):
+        left = set(known[fold::FOLDS])
+        if len(known) - len(left) < 2:
+            continue
+        rest = [i for i in some if labels[i] not in left]
+        other = _learn([texts[i] for i in rest], [labels[i] for i in rest], seed)[0]
+        out.append(lead(logits([texts[i].lower().encode("utf-8", "surrogatepass") for i in some if labels[i] in left], other)))
+    letters = sorted({c for i in some[:FEW] for c in texts[i].lower() if LETTER.match(c)}) or ["x"]
+    junk = ["".join(c if c.isspace() else letters[rng.integers(len(letters))] for c in texts[i][:1000]) for i in some[:FEW]]
+    return np.concatenate([*out, lead(logits([t.encode("utf-8", "surrogatepass") for t in junk], model))])
+
+
 def fit(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
     """Train on nine tenths of the texts, calibrate on the rest (on all, if there are under 50)."""
+    model, raw, y, held = _learn(texts, labels, seed)
+    if not model.languages:
+        return model
+    x = logits([raw[i] for i in held], model)
+    hit = np.arange(len(held)), y[held]
+    loss = {t: -np.log(softmax(x, t)[hit] + 1e-12).mean() for t in np.geomspace(0.05, 20, 60)}
+    model.temperature = float(min(loss, key=loss.get))
+    # mislabelled texts are classified otherwise, and don't count
+    own = np.sort(lead(x)[x.argmax(axis=1) == y[held]])
+    if len(model.languages) > 1 and len(own):
+        low, high = own[int(REJECTED * len(own))], np.quantile(_foreign(texts, labels, model.languages, model, seed), FOREIGN)
+        model.threshold = float(min(low, high))
+    return model
+
+
+def _learn(texts: list[str], labels: list[str], seed: int) -> tuple[Model, list[bytes], np.ndarray, np.ndarray]:
+    """A model that is not calibrated, the texts' bytes, the languages' numbers, and the texts held back."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0)), [], np.zeros(0, dtype=int), np.zeros(0, dtype=int)
     y = np.array([languages.index(x) for x in labels])
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     rng = np.random.default_rng(seed)
@@ -131,24 +175,18 @@ def fit(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
             out -= rate * 0.1 * np.outer(mean, p)
             bias -= rate * 0.01 * p
             emb[bucket] -= rate * share[:, None] * back * 4
-    model = Model(languages, (emb @ out).astype(np.float32), bias.astype(np.float64))
-    x = logits([raw[i] for i in held], model)
-    hit = np.arange(len(held)), y[held]
-    loss = {t: -np.log(softmax(x, t)[hit] + 1e-12).mean() for t in np.geomspace(0.05, 20, 60)}
-    model.temperature = float(min(loss, key=loss.get))
-    best = np.sort(softmax(x, model.temperature)[hit])
-    model.threshold = float(min(HIGHEST, best[int(REJECTED * len(best))])) * 0.999
-    return model
+    return Model(languages, (emb @ out).astype(np.float32), bias.astype(np.float64)), raw, y, held
 
 
 def training_rows(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled texts: of each language the rows whose ids' hashes come first.
 
-    Ids and languages are ranked without their texts; at most ``per_language`` times
-    ``LANGUAGES`` rows reach the driver.
+    Ids and languages are ranked without their texts. Every language is learned; with more
+    than ``LANGUAGES`` each has a smaller sample, of 50 rows at least.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    common = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    per_language = min(per_language, max(50, per_language * LANGUAGES // max(1, rows.select("lang").distinct().count())))
     # a share of each language's rows, twice what is needed on average, is ranked: no task ranks a whole language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
     some = rows.select("doc_id", "lang").join(F.broadcast(common), "lang").where(draw * F.col("n") < 2.0 * per_language + 50)
@@ -180,14 +218,17 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         m = shared.value
         solid = np.array([isinstance(t, str) and LETTER.search(t) is not None for t in texts], dtype=bool) & bool(m.languages)
         pred, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+        ahead = np.zeros(len(texts))
         some = np.flatnonzero(solid)
         if len(some):
-            p = softmax(logits([texts.iloc[i].lower().encode("utf-8", "surrogatepass") for i in some], m), m.temperature)
+            x = logits([texts.iloc[i].lower().encode("utf-8", "surrogatepass") for i in some], m)
+            p = softmax(x, m.temperature)
             best = p.argmax(axis=1)
             pred[some] = np.array(m.languages, dtype=object)[best]
             score[some] = p[np.arange(len(some)), best]
+            ahead[some] = lead(x)
         release()
-        return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": ~solid | (score < m.threshold)})
+        return pd.DataFrame({"lang_pred": pred, "score": score, "rejected": ~solid | (ahead < m.threshold)})
 
     # other columns never enter Python
     return docs.select(*[docs[c] for c in keep], predict(docs["text"]).alias("__p")).select(*keep, "__p.lang_pred", "__p.score", "__p.rejected")

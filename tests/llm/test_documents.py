@@ -282,6 +282,27 @@ def test_language_model_on_held_out_rows(spark):
     assert out.select("doc_id").where("doc_id = 0").count() == int(zlib.crc32(b"0") % 3 == 1)
 
 
+def test_foreign_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxzaeiouy   ") for _ in range(rng.randint(60, 300))) for _ in range(100)]
+    junk += ["Город стоит на берегу реки, и в нём живут люди, которые помнят", "Kaupunki sijaitsee joen rannalla ja siellä asuu ihmisiä jotka muistavat"]
+    unseen = [r["text"] for r in docs.where("lang = 'fr'").limit(100).collect() if r["text"]]
+    stray = docs.where("doc_id < 12 and lang <> 'fr'").withColumn("lang", F.when(F.col("lang") == "en", "de").otherwise("en"))
+    model = langid.train(docs.where("lang <> 'fr' and doc_id >= 12").unionByName(stray))
+    for texts, least in ((junk, 0.95), (unseen, 0.9)):
+        out = langid.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+        assert out.where("rejected").count() >= least * len(texts)
+    clean = langid.classify(docs.where("lang <> 'fr' and doc_id >= 12"), model)
+    assert clean.where("rejected").count() <= 0.01 * clean.count()
+
+
+def test_all_languages_are_learned(spark):
+    data = [(i, f"w{chr(97 + i % 70 % 26)}{chr(97 + i % 70 // 26)} q{chr(97 + i % 70 % 26)}z", f"l{i % 70}") for i in range(140)]
+    model = langid.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 70
+
+
 def test_language_on_odd_tables(spark, documents):
     out = langid.predict_languages(documents)
     assert out.count() == documents.count()
