@@ -247,7 +247,38 @@ def test_contamination_recall_and_precision(spark):
     assert len(found & truth) >= 0.95 * len(truth) and all((n, i) in found for n, i in truth if n % 4 == 0)
 
 
-@pytest.mark.parametrize("size", [8, 15, 40, 59, 100, 160])
+def test_contamination_equals_brute_force(spark):
+    """Every passage within the tolerance, by alignment of all pairs."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 24)))) for i in range(12)] + [(12, " ".join(rng.choices(vocabulary, k=150)))]
+    docs = []
+    for n in range(60):
+        w = items[n % 13][1].split()
+        for _ in range(rng.randint(0, len(w) // 4)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["zz"], ["zz", w[k]]])
+        docs.append((n, " ".join(rng.choices(vocabulary, k=rng.randint(0, 20)) + w + rng.choices(vocabulary, k=rng.randint(0, 20)))))
+    want, exact = set(), set()
+    for d, text in docs:
+        for i, item in items:
+            w = item.split()
+            least = decontam.align(np.array([hash(x) for x in w]), np.array([hash(x) for x in text.split()]))[0]
+            want |= {(d, i)} if least <= len(w) // 5 else set()
+            exact |= {(d, i)} if f" {item} " in f" {text} " else set()
+    got = {r[:2] for r in rows(decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))}
+    assert got <= want and exact <= got and len(got) >= 0.97 * len(want) and len(want) > 40
+
+
+@pytest.mark.parametrize("size", [1, 3, 64, 65, 120, 127, 128, 200, 300, 500])
+def test_exact_passages_are_always_found(size):
+    rng = random.Random(size)
+    items = [" ".join(rng.choices([f"v{i}" for i in range(400)], k=size)) for _ in range(10)]
+    docs = [f"before it {x} after it" for x in items]
+    assert {(r[0], r[1], r[4]) for r in decontam.matches(docs, decontam.Items(list(range(10)), items))} >= {(i, i, 0) for i in range(10)}
+
+
+@pytest.mark.parametrize("size", [8, 15, 40, 59, 100, 160, 300, 500])
 def test_recall_at_the_tolerance(size):
     rng = random.Random(size)
     vocabulary = [f"v{i}" for i in range(400)]
