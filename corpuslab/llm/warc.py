@@ -30,18 +30,24 @@ LEAST, FRAME, BUNDLE = 100, 1 << 18, 1 << 23
 INDEX = "array<struct<record_id: string, frame: int, offset: int, length: int>>"
 
 
-def record(page_id: int | None, number: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> tuple[str, bytes]:
-    """A record and its id. ``number`` tells rows of one page id apart."""
-    name = lambda i: f"<urn:page:{'null' if i is None else i}>"
-    own = f"<urn:page:{'null' if page_id is None else page_id}:{number}>"
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
-    if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
-    body = b"" if revisit else payload
-    lines.append(f"Content-Length: {len(body)}")
-    return own, "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
+def record_id(page_id: int | None, number: int) -> str:
+    """``number`` is the row's own, so that rows of one page id have different records."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{number}>"
+
+
+def record(name: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    """A response, an HTTP message around the payload, or, if it refers to another record, a revisit without a body."""
+    clean = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
+    if clean is not None:
+        lines.append("WARC-Target-URI: " + clean)
+    body = b""
+    if refers_to is None:
+        body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    else:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to}"]
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -112,21 +118,25 @@ def export_bundle(row, path: str) -> None:
 
 
 def _bundles(limit: int, frame: int):
+    def closed(records):
+        data, index = pack(records, frame)
+        return pd.DataFrame({"bundle_id": [uuid.uuid5(uuid.NAMESPACE_URL, hashlib.sha256(data).hexdigest()).hex], "data": [data], "index": [index]})
+
     def run(parts):
         records, size = [], 0
+        whole = lambda v: None if v is None or v != v else int(v)
         for pdf in parts:
             for x in pdf.itertuples(index=False):
                 payload = x.html.encode("utf-8", "surrogatepass") if isinstance(x.html, str) else b""
-                whole = lambda v: None if v is None or v != v else int(v)
-                records.append(record(whole(x.page_id), len(records), x.url if isinstance(x.url, str) else None, payload, x.digest, whole(x.first), bool(x.revisit)))
-                size += len(records[-1][1])
+                name = record_id(whole(x.page_id), x.number)
+                data = record(name, x.url if isinstance(x.url, str) else None, payload, x.digest, record_id(whole(x.first), whole(x.first_number)) if x.revisit else None)
+                records.append((name, data))
+                size += len(data)
                 if size >= limit:
-                    data, index = pack(records, frame)
-                    yield pd.DataFrame({"bundle_id": [uuid.uuid5(uuid.NAMESPACE_URL, hashlib.sha256(data).hexdigest()).hex], "data": [data], "index": [index]})
+                    yield closed(records)
                     records, size = [], 0
         if records:
-            data, index = pack(records, frame)
-            yield pd.DataFrame({"bundle_id": [uuid.uuid5(uuid.NAMESPACE_URL, hashlib.sha256(data).hexdigest()).hex], "data": [data], "index": [index]})
+            yield closed(records)
 
     return run
 
@@ -137,17 +147,38 @@ def write_archives(pages: DataFrame, least: int = LEAST, bundle: int = BUNDLE, f
     Of rows with equal payloads of ``least`` bytes or more, those with the smallest
     page id are responses, all others revisit it; null ids are never the smallest,
     and revisit only where there is one. Null html is empty, null urls
-    have no target header. A record larger than a frame or bundle has its own.
+    have no target header. A record larger than a frame or bundle has its own. Rows that repeat have a record each,
+    told apart by the row's number; ``pages`` should give its rows in the same order again, as tables do.
     """
     bounded_batches(pages.sparkSession)
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("digest"), (F.octet_length(html) >= least).alias("long"))
-    first = rows.where("long").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("number"), F.sha2(html, 256).alias("digest"), (F.octet_length(html) >= least).alias("long"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "number"))).alias("first")
+    # written, so that the join can split the rows of one payload
+    first = saved(rows.where("long").groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.number").alias("first_number")), "repeated")
     rows = rows.join(first, "digest", "left").withColumn("revisit", F.coalesce(F.col("long") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
-    rows = rows.select("page_id", "url", "html", "digest", "first", "revisit")
+    rows = rows.select("page_id", "number", "url", "html", "digest", "first", "first_number", "revisit")
     return saved(rows.mapInPandas(_bundles(bundle, frame), f"bundle_id string, data binary, index {INDEX}"), "warc")
 
 
+def record_index(bundles: DataFrame) -> DataFrame:
+    """``(record_id, bundle_id, frame, offset, length)`` of all records: where each is found, payloads unread."""
+    return bundles.select("bundle_id", F.explode("index").alias("e")).select("e.record_id", "bundle_id", "e.frame", "e.offset", "e.length")
+
+
+def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(record_id, data)`` of the records that ``wanted(record_id)`` names: of each bundle only their frames are decompressed."""
+    at = record_index(bundles).join(wanted.select("record_id").distinct(), "record_id")
+    at = at.groupBy("bundle_id").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("entries"))
+
+    def run(parts):
+        for pdf in parts:
+            for data, entries in zip(pdf["data"], pdf["entries"]):
+                yield pd.DataFrame([(e["record_id"], seek(data, e)) for e in entries], columns=["record_id", "data"])
+
+    return bundles.select("bundle_id", "data").join(at, "bundle_id").select("data", "entries").mapInPandas(run, "record_id string, data binary")
+
+
 def read_archives(bundles: DataFrame) -> DataFrame:
     """``(bundle_id, record_id, page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload)`` of all records.
 
@@ -168,10 +199,11 @@ def read_archives(bundles: DataFrame) -> DataFrame:
                     h, body = parse(raw[e["offset"] : e["offset"] + e["length"]])
                     if h["WARC-Record-ID"] != e["record_id"]:
                         raise ValueError("the index names another record")
-                    ref, own = h.get("WARC-Refers-To"), h["WARC-Record-ID"].split(":")[2]
+                    page = lambda name: None if (x := name.split(":")[2]) == "null" else int(x)
                     revisit = h["WARC-Type"] == "revisit"
+                    body = body.partition(b"\r\n\r\n")[2]  # after the HTTP message's own headers
                     digest = h["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(body).hexdigest()
-                    rows.append((name, e["record_id"], None if own == "null" else int(own), h.get("WARC-Target-URI"), int(h["X-Payload-Length"]) if revisit else len(body), digest, h["WARC-Type"], int(ref[10:-1]) if revisit else None, None if revisit else body))
+                    rows.append((name, e["record_id"], page(e["record_id"]), h.get("WARC-Target-URI"), int(h["X-Payload-Length"]) if revisit else len(body), digest, h["WARC-Type"], page(h["WARC-Refers-To"]) if revisit else None, None if revisit else body))
                 out = pd.DataFrame(rows, columns=["bundle_id", "record_id", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
