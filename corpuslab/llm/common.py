@@ -20,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpuslab-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -57,3 +59,16 @@ def ascii_lower(c: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__d`` and ``__f``, never null, which name a row by its id and text.
+
+    ``__f`` hashes the text in 64 bits. Rows without id, of which there may be many, have another hash in place of the id.
+    """
+    kind = docs.schema["doc_id"].dataType
+    text = F.coalesce("text", F.lit(""))
+    other = F.xxhash64(F.lit("id"), text)
+    if kind.simpleString() not in ("bigint", "string"):
+        other = F.lit("0")
+    return docs.select("*", F.coalesce("doc_id", other.cast(kind)).alias("__d"), F.xxhash64(F.col("doc_id").isNull(), text).alias("__f"))

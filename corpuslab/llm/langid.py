@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from corpuslab.llm import kernels as K
-from corpuslab.llm.common import bounded_batches, release
+from corpuslab.llm.common import bounded_batches, release, saved
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: Most labelled texts of a language that a model is fitted on; with more languages than the second each has fewer.
@@ -182,18 +182,21 @@ def training_rows(docs: DataFrame, usable: Column, per_language: int = PER_LANGU
     """A bounded sample of labelled texts: of each language the rows whose ids' hashes come first.
 
     Ids and languages are ranked without their texts. Every language is learned; with more
-    than ``LANGUAGES`` each has a smaller sample, of 50 rows at least.
+    than ``LANGUAGES`` each has a smaller sample, of 50 rows at least. An id counts once in
+    a language, with the least of its texts, so the driver gets ``per_language`` rows of each.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    common = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    per_language = min(per_language, max(50, per_language * LANGUAGES // max(1, rows.select("lang").distinct().count())))
+    # rows that repeat count once
+    pairs = saved(rows.select("doc_id", "lang").distinct(), "labelled")
+    common = pairs.groupBy("lang").agg(F.count("*").alias("n"))
+    per_language = min(per_language, max(50, per_language * LANGUAGES // max(1, common.count())))
     # a share of each language's rows, twice what is needed on average, is ranked: no task ranks a whole language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
-    some = rows.select("doc_id", "lang").join(F.broadcast(common), "lang").where(draw * F.col("n") < 2.0 * per_language + 50)
+    some = pairs.join(F.broadcast(common), "lang").where(draw * F.col("n") < 2.0 * per_language + 50)
     by = W.partitionBy("lang").orderBy(draw, "doc_id")
     ids = some.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= per_language).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__l"))
     picked = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__l")))
-    found = picked.select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang", "text"])
+    found = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "lang"])
     return list(found["text"]), list(found["lang"])
 
 
