@@ -23,7 +23,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.bwt import repeated
-from corpuslab.llm.common import bounded_batches, release, saved
+from corpuslab.llm.common import bounded_batches, keyed, release, saved
 
 LEAST, ANCHOR = 200, 64
 #: Bytes of texts hashed at a time; bytes of a block; distinct segments of a key in a block.
@@ -169,16 +169,8 @@ def repeated_windows(items: DataFrame, least: int, crowd: int, block: int, cells
     return out.unionByName(repeated_windows(finer, least, crowd, block, cells[1:]))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__d`` and ``__f``, never null: the id or a zero value, and the text's CRC-32, marked where the id is null."""
-    kind = docs.schema["doc_id"].dataType
-    zero = F.lit("0").cast(kind)
-    mark = F.when(F.col("doc_id").isNull(), F.lit(1 << 32)).otherwise(F.lit(0))
-    return docs.select("*", F.coalesce("doc_id", zero).alias("__d"), (F.crc32(F.coalesce("text", F.lit(""))) + mark).alias("__f"))
-
-
 def repeated_spans(docs: DataFrame, least: int = LEAST, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """``(__d, __f, spans)`` of the texts of ``docs`` that have repeats, by the keys of :func:`keyed`; a span is a start and the repeated windows' numbers."""
+    """``(__d, __f, spans)`` of the texts of ``docs`` that have repeats, by the keys of ``keyed``; a span is a start and the repeated windows' numbers."""
     if not ANCHOR < least <= ANCHOR + 200:
         raise ValueError(f"the minimum length must be over {ANCHOR} and at most {ANCHOR + 200} bytes")
     bounded_batches(docs.sparkSession)
