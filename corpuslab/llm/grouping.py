@@ -58,7 +58,8 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the join can split the links of one node
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         # large star: larger neighbours of a node go to the smallest of its neighbourhood
         edges = saved(both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").distinct(), "edges")
         # small star: a node and its smaller neighbours go to the smallest of these
@@ -74,25 +75,25 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
 
 
-def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pairs: Callable, block: Callable | None, votes: int = 1, pivots: int = 2) -> DataFrame:
+def resolve(buckets: DataFrame, payloads: DataFrame | Callable[[DataFrame], DataFrame], pairs: Callable, block: Callable | None, votes: int = 1, pivots: int = 2) -> DataFrame:
     """Classes ``(id, root)`` of ids that share a bucket and match, directly or through others.
 
-    ``buckets(key, id)``: candidates, each once, cheap to read again; ``payloads(ids)``: ``(id, payload binary)``
-    of the ids asked for; ``pairs(list, list)``: which pairs match;
+    ``buckets(key, id)``: candidates, each once, cheap to read again; ``payloads``: a written table ``(id, payload binary)``, or a function that makes it
+    for the ids asked for; ``pairs(list, list)``: which pairs match;
     ``block(list, list)``: the matrix of matches, or None to leave it at pivots. A
     pivot pair needs ``votes`` shared buckets; the blocks compare whatever shares one. Ids that match nothing have no row.
     """
     rank = [F.xxhash64(F.lit(s + 1), "id") for s in range(pivots)]
     full = buckets.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("id", r).alias(f"p{i}") for i, r in enumerate(rank))).where("n > 1")
     full = saved(full, "pivots")  # a written table, so that the join can split the rows of a hot bucket
-    buckets = buckets.join(full, "key")
+    # pivots meet all pairs of small buckets: their keys aren't needed again
+    buckets = buckets.join(full, "key").withColumn("key", F.when(F.col("n") > pivots + 1, F.col("key")))
     if block is not None:
         buckets = saved(buckets, "full-buckets")
     asked = buckets.select("id", F.explode(F.array(*[f"p{i}" for i in range(pivots)])).alias("p")).where("id <> p")
     asked = asked.select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= votes).select("u", "v")
     asked = saved(asked, "asked")
-    load = payloads(asked.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    load = saved(load, "payloads")
+    load = payloads if isinstance(payloads, DataFrame) else saved(payloads(asked.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "payloads")
 
     def confirm(parts):
         for pdf in parts:
@@ -106,8 +107,8 @@ def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pair
     if block is None:
         return classes
 
-    # members that stand outside the largest class of a bucket, against the whole bucket; with one vote all buckets of two have been decided
-    at = buckets.where(F.col("n") > (2 if votes == 1 else 1)).select("key", "id", "n").join(classes, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("c"))
+    # members that stand outside the largest class of a bucket, against the whole bucket
+    at = buckets.where("key is not null").select("key", "id", "n").join(classes, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("c"))
     size = at.groupBy("key", "c").agg(F.count("*").alias("k"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
     open_ = size.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("all"), F.sum("h").alias("h")).where("most < all")
     # buckets of the same members are compared once
@@ -118,23 +119,36 @@ def resolve(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], pair
     left = at.where("odd").select("key", "id", "c", F.lit(True).alias("odd"), (here % rows_).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("j"))
     right = at.select("key", "id", "c", F.lit(False).alias("odd"), F.explode(F.sequence(F.lit(0), rows_ - 1)).alias("i"), (here % cols).cast("int").alias("j"))
     cells = left.unionByName(right)
-    load2 = payloads(at.select("id").distinct())
+    load2 = payloads if isinstance(payloads, DataFrame) else payloads(at.select("id").distinct())
     cells = cells.join(load2, "id")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["odd"]], pdf[~pdf["odd"]]
+    def compare(rows: list[tuple]) -> list[tuple]:
+        a, b = [r for r in rows if r[3]], [r for r in rows if not r[3]]
         found = []
-        if len(a) and len(b):
-            hit = block(list(a["payload"]), list(b["payload"]))
-            ca, cb, ia, ib = list(a["c"]), list(b["c"]), list(a["id"]), list(b["id"])
-            for x in range(len(ia)):
-                seen = {ca[x]}
+        if a and b:
+            hit = block([r[5] for r in a], [r[5] for r in b])
+            for x in range(len(a)):
+                seen = {a[x][4]}
                 for y in np.flatnonzero(hit[x]):
-                    if cb[y] not in seen:
-                        seen.add(cb[y])
-                        found.append((ia[x], ib[y]))
-        return pd.DataFrame({"u": pd.Series([f[0] for f in found], dtype=object), "v": pd.Series([f[1] for f in found], dtype=object)})
-
-    more = cells.groupBy("key", "i", "j").applyInPandas(compare, f"u {kind}, v {kind}")
+                    if b[y][4] not in seen:
+                        seen.add(b[y][4])
+                        found.append((a[x][6], b[y][6]))
+        return found
+
+    def compared(parts):
+        rows, cell = [], None
+        columns = lambda found: pd.DataFrame({"u": pd.Series([f[0] for f in found], dtype=object), "v": pd.Series([f[1] for f in found], dtype=object)})
+        for pdf in parts:
+            found = []
+            for row in pdf[["key", "i", "j", "odd", "c", "payload", "id"]].itertuples(index=False, name=None):
+                if row[:3] != cell:
+                    found += compare(rows)
+                    rows, cell = [], row[:3]
+                rows.append(row)
+            yield columns(found)
+        yield columns(compare(rows))
+
+    # cells of a partition one after the other: a task for each small bucket would cost more than its work
+    more = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compared, f"u {kind}, v {kind}")
     more = saved(more, "more-links")
     return components(links.unionByName(more))

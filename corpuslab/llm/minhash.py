@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from corpuslab.llm import kernels as K
-from corpuslab.llm.common import bounded_batches, release, saved
+from corpuslab.llm.common import WORD as K_WORD
+from corpuslab.llm.common import bounded_batches, keyed, release, saved
 from corpuslab.llm.grouping import resolve
 
 #: Rows and bands: a pair at 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8.
@@ -147,27 +148,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     is never a component's name unless the component has no other; then both
     ``component_id`` and ``kept`` are null and true. Other columns are ignored.
     """
+    sketch, names = _grouped(docs, width, percent, rows, bands)
+    out = sketch.join(names.select("id", "named"), "id", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("named")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n_shingles").cast("long"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """One row of each group of near-duplicates in ``docs``: that of smallest ``doc_id``, of several texts the one of least hash.
+
+    Rows without words belong to no group and stay; so rows without id stay only where they name their group.
+    """
+    names = _grouped(docs, width, percent, rows, bands)[1]
+    first = names.select("group.*").distinct()
+    solid = F.coalesce(F.col("text").rlike(K_WORD), F.lit(False))
+    # the other columns travel in one struct, whatever their names
+    plain = keyed(docs.select("doc_id", "text", F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("__row")))
+    one = plain.where(solid).join(first, (plain["__d"] == first["d"]) & (plain["__f"] == first["f"]), "left_semi").groupBy("__d", "__f").agg(F.first("__row").alias("__row"))
+    return one.select("__row").unionByName(plain.where(~solid).select("__row")).select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, n_shingles, id)`` of all rows, ``id`` naming the set, and ``(id, named, group)`` of the sets: the component's name and its first row's keys."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    sketch = saved(docs.select("doc_id", _sketch(width, rows, bands)("text").alias("s")).select("doc_id", "s.*"), "sketch")
-    solid = sketch.where("n_shingles > 0")
-    # one row for each distinct set
-    classes = saved(solid.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "sets")
+    docs = keyed(docs.select("doc_id", "text"))
+    sketch = saved(docs.select("doc_id", "__d", "__f", _sketch(width, rows, bands)("text").alias("s")).select("doc_id", "__d", "__f", "s.*"), "sketch")
+    # one row for each distinct set, with the keys of a row that has it
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("__d").alias("d"), F.col("__f").alias("f")))
+    classes = saved(sketch.where("n_shingles > 0").groupBy("id").agg(least.alias("one"), F.first("bands").alias("bands")), "sets")
     buckets = classes.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
 
     def payloads(ids: DataFrame) -> DataFrame:
-        one = solid.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-        # a repeated doc_id may hold other texts: their sets are told apart by digest
-        cut = docs.join(one.select("doc_id", F.col("id").alias("want")), docs["doc_id"].eqNullSafe(one["doc_id"])).select(docs["text"], F.col("want").alias("id"))
-        return cut.mapInPandas(_sets_checked(width), "id binary, payload binary").distinct()
+        # written, so that the join with the texts can split the rows of one document that repeats
+        wanted = saved(classes.select("id", "one.d", "one.f").join(ids, "id", "left_semi"), "wanted")
+        cut = docs.join(wanted, (docs["__d"] == wanted["d"]) & (docs["__f"] == wanted["f"])).select("text", "id")
+        return cut.mapInPandas(_sets_checked(width), "id binary, payload binary").dropDuplicates(["id"])
 
     roots = resolve(buckets, payloads, _pairs(percent), _block(percent))
-    named = classes.select("id", "least").join(roots, "id").groupBy("root").agg(F.min("least").alias("named"))
-    named = saved(roots.join(named, "root").select("id", "named"), "names")
-    own = classes.select("id", "least")
-    out = sketch.join(own, "id", "left").join(named, "id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("named", "least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n_shingles").cast("long"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    group = saved(classes.select("id", "one").join(roots, "id").groupBy("root").agg(F.min("one").alias("group")), "groups")  # written: a large group's join is split
+    names = classes.select("id", "one").join(roots.join(group, "root").select("id", "group"), "id", "left").select("id", F.coalesce("group", "one").alias("group"))
+    names = names.select("id", "group", F.when(~F.col("group.none"), F.col("group.d")).alias("named"))
+    return sketch.select("doc_id", "n_shingles", "id"), saved(names, "names")
 
 
 def _sets_checked(width: int):

@@ -397,3 +397,29 @@ def test_unmodified_licences(spark, width, mark):
     df = spark.createDataFrame([(i, wrap(t)) for i, (t, _) in enumerate(CANONICAL)], "doc_id int, text string")
     assert [r[0] for r in rows(licences.scan_licences(df).select("doc_id", "licences"), "doc_id")] == list(range(len(CANONICAL)))
     assert [r[1] for r in rows(licences.scan_licences(df).select("doc_id", "licences"), "doc_id")] == [w for _, w in CANONICAL]
+
+
+# --- many rows without id, and rows that repeat
+
+
+def test_rows_without_id_are_told_apart(spark):
+    rng = random.Random(6)
+    base = [" ".join(rng.choices([f"q{i}" for i in range(300)], k=80)) for _ in range(30)]
+    texts = base + [b + " more" for b in base[:20]] + base[:10] + ["", None, " "]
+    docs = spark.createDataFrame([(None, t, "en") for t in texts] + [(5, base[0], "en"), (5, base[1], "en")], "doc_id long, text string, lang string")
+    left = minhash.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    got = [r["text"] for r in left.collect()]
+    assert len(got) == 30 + 3 and {(t or "").removesuffix(" more") for t in got} == {*base, "", " "}
+    assert sum(r["doc_id"] == 5 for r in left.collect()) == 2  # a row with id names its group
+    long = "".join(rng.choices("abcdefgh ", k=400))
+    docs = spark.createDataFrame([(None, f"{i} " + base[i] + (long if i % 2 else "")) for i in range(30)], "doc_id long, text string")
+    gone = sorted(r["n_removed"] for r in suffix_dedup.removed_repeats(docs).collect())
+    assert gone[:15] == [0] * 15 and all(400 <= n < 405 for n in gone[15:])  # a letter or two before the passage can be alike
+
+
+def test_a_row_that_repeats_is_learned_from_once(spark):
+    data = [(1, "the cat and the dog", "en")] * 200 + [(i, f"le chat et le chien numéro {i}", "fr") for i in range(2, 40)] + [(i, f"the house and the tree number {i}", "en") for i in range(40, 60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    texts, labels = langid.training_rows(docs, F.lit(True), per_language=20)
+    assert labels.count("en") == 20 and labels.count("fr") == 20 and len(set(texts)) == 40
