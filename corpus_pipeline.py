@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuslab.llm.common import read, saved
 from corpuslab.llm.decontam import without_contaminated
 from corpuslab.llm.langid import classify, train
-from corpuslab.llm.minhash import near_duplicates
+from corpuslab.llm.minhash import without_near_duplicates
 from corpuslab.llm.mixing import mixed_documents
 from corpuslab.llm.suffix_dedup import without_repeats
 
@@ -22,11 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one that names it (of rows that repeat, one)."""
-    key = {"__id": F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)), "__none": F.col("doc_id").isNull()}
-    kept = near_duplicates(docs).where("kept").withColumns(key).select(*key).distinct()
-    # the join has brought rows of one id together, so dropping repeats moves nothing
-    left = docs.withColumns(key | {"__text": F.xxhash64("text")}).join(kept, list(key), "left_semi")
-    return left.dropDuplicates([*key, "__text"]).select(*docs.columns)
+    return without_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
