@@ -17,7 +17,7 @@ from corpuslab.llm.media import image_copies, rendered
 from corpuslab.llm.minhash import near_duplicates
 from corpuslab.llm.mixing import mixed_documents
 from corpuslab.llm.suffix_dedup import removed_repeats
-from corpuslab.llm.url_reputation import LEAST_STRENGTH, MOST_STRENGTH, THRESHOLD, Z, judge_urls
+from corpuslab.llm.url_reputation import LEAST_STRENGTH, MOST_STRENGTH, SECOND_LEVEL, THRESHOLD, Z, judge_urls
 from corpuslab.llm.url_reputation import RULES as URL_RULES
 from corpuslab.llm.warc import read_archives, write_archives
 
@@ -27,7 +27,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the number in a url's path is the document that the page shows; its labels are the page's outcome
     shown = pages.select("page_id", F.regexp_extract("url", r"://[^/?#]*/[a-z]+/(\d+)", 1).try_cast("long").alias("doc_id"))
     labels = read(spark, sf_dir, "labels").select("doc_id", F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("bad"))
-    return judge_urls(pages, shown.join(labels, "doc_id").select("page_id", "bad")).drop("bad_bound")
+    return judge_urls(pages, shown.join(labels, "doc_id").select("page_id", "bad")).withColumn("bad_bound", F.round("bad_bound", 9))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,24 +89,30 @@ def _level(child: str, parent: str, up: str) -> str:
 def _url_sql() -> str:
     rule = " ".join(f"WHEN (host = '{r[: r.index('/')]}' OR suffix(host, '.{r[: r.index('/')]}')) AND starts_with(path, '{r[r.index('/') :]}') THEN '{r}'" for _, r in sorted(URL_RULES, key=lambda x: -len(x[1])))
     verdict = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in URL_RULES)
+    bare = "regexp_replace(host, ':[0-9]*$', '')"
+    numeric = f"regexp_matches({bare}, '^([0-9]+(\\.[0-9]+){{3}}|\\[.*\\])$')"
+    two = f"regexp_matches({bare}, '(^|\\.)({'|'.join(SECOND_LEVEL)})\\.[a-z]{{2}}$')"
+    last = lambda n: f"array_to_string(list_slice(string_split({bare}, '.'), -{n}, -1), '.')"
+    domain = f"CASE WHEN {numeric} THEN {bare} WHEN {two} THEN {last(3)} ELSE {last(2)} END"
+    suffix = f"CASE WHEN {numeric} THEN 'ip' WHEN {two} THEN {last(2)} ELSE {last(1)} END"
     bound = f"greatest(0, a / (a + b) - {Z} * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)))"
     return f"""
 WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{_UP}', '{_LOW}') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 o AS (SELECT host, count(*)::DOUBLE AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END)::DOUBLE AS bad FROM p
   JOIN labels l ON l.doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT) GROUP BY host),
-host_n AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, split_part(host, '.', -1) AS suffix FROM o),
+host_n AS (SELECT *, {domain} AS domain, {suffix} AS suffix FROM o),
 domain_n AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM host_n GROUP BY ALL),
 suffix_n AS (SELECT suffix, 1 AS top, sum(n) AS n, sum(bad) AS bad FROM host_n GROUP BY ALL),
 total AS (SELECT 1 AS top, coalesce(sum(bad), 0) + 1 AS a, coalesce(sum(n - bad), 0) + 1 AS b FROM suffix_n),
 {_level("suffix", "total", "top")},{_level("domain", "suffix", "suffix")},{_level("host", "domain", "domain")},
-r AS (SELECT *, CASE {rule} END AS rule, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS d, split_part(host, '.', -1) AS s FROM p)
-SELECT page_id, r.host, path, rule, CASE {verdict} WHEN coalesce(h.x, m.x, t.x, 0) > {THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict
+r AS (SELECT *, CASE {rule} END AS rule, {domain} AS d, {suffix} AS s FROM p)
+SELECT page_id, r.host, path, rule, CASE {verdict} WHEN coalesce(h.x, m.x, t.x, 0) > {THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict, round(coalesce(h.x, m.x, t.x, 0), 9) AS bad_bound
 FROM r LEFT JOIN (SELECT host, {bound} AS x FROM host) h ON h.host = r.host LEFT JOIN (SELECT domain, {bound} AS x FROM domain) m ON m.domain = d LEFT JOIN (SELECT suffix, {bound} AS x FROM suffix) t ON t.suffix = s"""
 
 
 MIX_SQL = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, '')))) AS h FROM documents),
 src AS (SELECT source, source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap
   FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
 lam(i, l) AS (SELECT 0, (SELECT 1.5::DOUBLE * sum(source_size) / sum(w) FROM src)

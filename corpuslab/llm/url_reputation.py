@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import ascii_lower
+from corpuslab.llm.common import ascii_lower, saved
 
 #: (verdict, rule): a rule is a host, then a path prefix.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -43,9 +43,21 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
     return found
 
 
+# Labels that make a suffix of two labels with a country's two letters, as in co.uk.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+
+
 def _levels(df: DataFrame) -> DataFrame:
-    """Registered domain: the last two labels of the host; suffix: the last."""
-    return df.withColumn("__domain", F.substring_index("__host", ".", -2)).withColumn("__suffix", F.substring_index("__host", ".", -1))
+    """Registered domain and suffix of ``__host``, its port aside.
+
+    The suffix is the last label, or the last two where they are one of ``SECOND_LEVEL`` and two letters; the registered
+    domain has one label more. Numeric addresses are domains of their own under the suffix ``ip``.
+    """
+    h = F.regexp_replace("__host", r":[0-9]*$", "")
+    numeric, two = h.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"), h.rlike(rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+    domain = F.when(numeric, h).when(two, F.substring_index(h, ".", -3)).otherwise(F.substring_index(h, ".", -2))
+    suffix = F.when(numeric, F.lit("ip")).when(two, F.substring_index(h, ".", -2)).otherwise(F.substring_index(h, ".", -1))
+    return df.withColumn("__domain", domain).withColumn("__suffix", suffix)
 
 
 def _shrunk(child: DataFrame, parent: DataFrame, key: str, up: str) -> DataFrame:
@@ -83,12 +95,13 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     known = outcomes.select(F.col("page_id").alias("__page"), F.col("bad").cast("double").alias("__bad")).where("__page is not null and __bad is not null")
     known = known.groupBy("__page").agg(F.sum("__bad").alias("__bad"), F.count("*").alias("__n"))
     labelled = pages.where("page_id is not null").join(known, pages["page_id"] == known["__page"])
-    host = _levels(labelled.groupBy("__host").agg(F.sum("__n").cast("double").alias("n"), F.sum("__bad").alias("bad")))
+    # written once: each level is made from the counts, not from the pages again
+    host = saved(_levels(labelled.groupBy("__host").agg(F.sum("__n").cast("double").alias("n"), F.sum("__bad").alias("bad"))), "hosts")
     domain = host.groupBy("__domain", "__suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffix = domain.groupBy("__suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("__top", F.lit(1))
-    total = suffix.agg((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1).alias("a"), (F.coalesce(F.sum(F.col("n") - F.col("bad")), F.lit(0.0)) + 1).alias("b")).withColumn("__top", F.lit(1))
-    suffix = _shrunk(suffix, total, "__suffix", "__top")
-    domain = _shrunk(domain, suffix, "__domain", "__suffix")
+    suffix = host.groupBy("__suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("__top", F.lit(1))
+    total = host.agg((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1).alias("a"), (F.coalesce(F.sum(F.col("n") - F.col("bad")), F.lit(0.0)) + 1).alias("b")).withColumn("__top", F.lit(1))
+    suffix = saved(_shrunk(suffix, total, "__suffix", "__top"), "suffixes")
+    domain = saved(_shrunk(domain, suffix, "__domain", "__suffix"), "domains")
     host = _shrunk(host, domain, "__host", "__domain")
 
     def bound() -> Column:
@@ -101,7 +114,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     every = every.join(suffix.select("__suffix", bound().alias("b3")), "__suffix", "left")
     every = every.join(domain.select("__domain", bound().alias("b2")), "__domain", "left")
     every = every.join(host.select("__host", bound().alias("b1")), "__host", "left")
-    every = every.select(F.col("__host").alias("__h"), F.coalesce("b1", "b2", "b3", F.lit(0.0)).alias("bad_bound"))
+    # written, so that the join can split the pages of one host
+    every = saved(every.select(F.col("__host").alias("__h"), F.coalesce("b1", "b2", "b3", F.lit(0.0)).alias("bad_bound")), "verdicts")
     out = pages.join(every, pages["__host"] == every["__h"]).withColumn("rule", rule_for(F.col("__host"), F.col("__path"), rules))
     by_rule = F.create_map(*[F.lit(x) for v, r in rules for x in (r, v)])[F.col("rule")] if rules else F.lit(None).cast("string")
     verdict = F.coalesce(by_rule, F.when(F.col("bad_bound") > threshold, "block").otherwise("allow"))
