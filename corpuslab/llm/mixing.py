@@ -53,9 +53,12 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     virtual finish time, ``words`` what the mix takes of the entry (0: after the
     budget's end). Sizes are runs of anything but ASCII white space, null texts have 0.
     Null sources are one source, last in order. Rows that repeat take part each;
-    a null ``doc_id`` is shuffled as the text ``null``. No rows give no rows.
+    a null ``doc_id`` is replaced by the text's digest. No rows give no rows. The budget is the sum of the whole words of all targets,
+    so the cut ends the queue where every source is spent; a smaller ``share`` or a ``cap`` moves both.
     """
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    # rows without id are shuffled by their texts
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce("text", F.lit("")))))
+    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{salt}|"), name)).alias("__h")), "sizes")
     targets = saved(source_targets(sized, weights, share, cap), "targets")
     n = sized.count()
     budget = targets.agg(F.coalesce(F.sum(F.floor(F.col("target") + 1e-6)), F.lit(0))).first()[0]  # in whole words
@@ -63,7 +66,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     while 16**digits * SLICE < n * 4 and digits < 8:
         digits += 1
     key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
-    rows = sized.withColumn("__key", key(F.col("source"))).withColumn("__h", F.md5(F.concat(F.lit(f"{salt}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("__cell", F.substring("__h", 1, digits))
+    rows = sized.withColumn("__key", key(F.col("source"))).withColumn("__cell", F.substring("__h", 1, digits))
     cells = rows.groupBy("__key", "__cell").agg(F.sum("size").alias("__s"), F.count("*").alias("__c"))
     ahead = W.partitionBy("__key").orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("__key", "__cell", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__s0"), F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__c0"))
@@ -99,6 +102,12 @@ def mixed_documents(docs: DataFrame, **knobs) -> DataFrame:
 
 
 def mixed_stream(docs: DataFrame, **knobs) -> DataFrame:
-    """The mix itself, range-sorted by virtual finish time: ``mix_plan``'s entries with words, and the document's columns once for each."""
-    plan = mix_plan(docs, **knobs).where("words > 0").select(F.col("doc_id").alias("__id"), "finish", "epoch", "words")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"])).drop("__id").orderBy("finish", "doc_id", "epoch")
+    """The mix itself, range-sorted by virtual finish time: ``mix_plan``'s entries with words, and the document's columns once for each.
+
+    Of k rows of one id each is joined with one of the id's k places in the plan.
+    """
+    plan = mix_plan(docs, **knobs)
+    nth = F.dense_rank().over(W.partitionBy("doc_id").orderBy("source", "place"))
+    plan = plan.withColumn("__nth", nth).where("words > 0").select(F.col("doc_id").alias("__id"), "__nth", "finish", "epoch", "words")
+    rows = docs.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy("source", word_count(F.col("text")))))
+    return rows.join(plan, rows["doc_id"].eqNullSafe(plan["__id"]) & (rows["__n"] == plan["__nth"])).drop("__id", "__n", "__nth").orderBy("finish", "doc_id", "epoch")
