@@ -44,6 +44,15 @@ def test_reputation_shrinks(spark):
     assert "Python" not in url_reputation.judge_urls(pages, bad)._jdf.queryExecution().toString()
 
 
+def test_registered_domains(spark):
+    hosts = ("a.b.co.uk", "x.co.uk:80", "co.uk", "a.b.com", "b.com:8080", "10.0.0.1:80", "[::1]:443", "localhost", "", "www.com.au", "a.co.jp.net")
+    df = spark.createDataFrame([(h,) for h in hosts], "__host string")
+    got = {r[0]: r[1:] for r in rows(url_reputation._levels(df))}
+    assert got["a.b.co.uk"] == ("b.co.uk", "co.uk") and got["x.co.uk:80"] == ("x.co.uk", "co.uk") and got["co.uk"] == ("co.uk", "co.uk")
+    assert got["a.b.com"] == ("b.com", "com") == got["b.com:8080"] and got["10.0.0.1:80"] == ("10.0.0.1", "ip") and got["[::1]:443"] == ("[::1]", "ip")
+    assert got["localhost"] == ("localhost", "localhost") and got[""] == ("", "") and got["www.com.au"] == ("www.com.au", "com.au") and got["a.co.jp.net"] == ("jp.net", "net")
+
+
 def test_archives_round_trip(spark, pages):
     bundles = warc.write_archives(pages, bundle=5000, frame=300)
     got = warc.read_archives(bundles)
@@ -61,6 +70,14 @@ def test_archives_round_trip(spark, pages):
     for e in row["index"]:
         headers, _ = warc.parse(warc.seek(bytes(row["data"]), e.asDict()))
         assert headers["WARC-Record-ID"] == e["record_id"]
+    index = {r["record_id"]: r for r in warc.record_index(bundles).collect()}
+    assert len(index) == len(out)  # no record id twice, rows that repeat included
+    some = warc.fetch(bundles, bundles.sparkSession.createDataFrame([(x,) for x in sorted(index)[::2]], "record_id string")).collect()
+    assert {r["record_id"] for r in some} == set(sorted(index)[::2])
+    for r in some:
+        headers, body = warc.parse(bytes(r["data"]))
+        assert headers["WARC-Record-ID"] == r["record_id"] and headers["Content-Type"].startswith("application/http")
+        assert headers.get("WARC-Refers-To", r["record_id"]) in index and (headers["WARC-Type"] == "revisit") == (body == b"")
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
     with pytest.raises(ValueError, match="seek table"):
         warc.frames(bytes(row["data"])[:-1])
@@ -134,8 +151,7 @@ def test_image_copies(spark):
 
 
 def payload(pixels):
-    corners, tests = media.describe(pixels)
-    return np.concatenate((corners.view(np.uint8).reshape(len(corners), 16), tests), axis=1).tobytes()
+    return media.pack(*media.describe(pixels))
 
 
 def test_copies_with_a_common_logo_equal_all_pairs(spark):
@@ -156,3 +172,60 @@ def test_copies_with_a_common_logo_equal_all_pairs(spark):
     pairs = {(u, v) for u in range(120) for v in range(u) if root[u] == root[v]}
     found = {(u, v) for u, v in pairs if got[u] == got[v]}
     assert len(found) >= 0.98 * len(pairs) and all(root[u] == root[v] for u in got for v in got if got[u] == got[v])
+
+
+def _turned(x, degrees):
+    """The middle of an image after a turn."""
+    n, a = x.shape[0], np.deg2rad(degrees)
+    y, c = np.mgrid[0:n, 0:n] - (n - 1) / 2
+    sy, sx = (np.clip(v + (n - 1) / 2, 0, n - 1.001) for v in (np.cos(a) * y - np.sin(a) * c, np.sin(a) * y + np.cos(a) * c))
+    y0, x0 = sy.astype(int), sx.astype(int)
+    fy, fx = sy - y0, sx - x0
+    out = (x[y0, x0] * (1 - fy) + x[y0 + 1, x0] * fy) * (1 - fx) + (x[y0, x0 + 1] * (1 - fy) + x[y0 + 1, x0 + 1] * fy) * fx
+    k = int(n * 0.15)
+    return out[k:-k, k:-k]
+
+
+@pytest.mark.parametrize("edit", ["crop", "turn", "0.5", "0.75", "1.2", "1.5", "2", "noise"])
+def test_recall_of_edits(edit):
+    """Scenes of 256 pixels: edited copies share keys enough and are verified, other scenes aren't."""
+    found = wrong = 0
+    before = None
+    for seed in range(8):
+        rng = np.random.default_rng([seed, 7])
+        scene = np.clip(sum(media.resize(rng.uniform(-1, 1, (k, k)), 256, 256) * a for k, a in ((16, 50), (37, 45), (80, 35))) + 128, 0, 255)
+        if edit == "crop":
+            copy = scene[60:214, 30:184]
+        elif edit == "turn":
+            copy = _turned(scene, 15)
+        elif edit == "noise":
+            copy = scene * 0.8 + 20 + rng.normal(0, 6, scene.shape)
+        else:
+            size = int(256 * float(edit))
+            copy = media.resize(media._blur(scene) if size < 200 else scene, size, size)
+        (one, other), bits = (payload(media.decode(media.encode(x))) for x in (scene, copy)), (media.table_keys(media.describe(media.decode(media.encode(x)))[1]) for x in (scene, copy))
+        found += len(np.intersect1d(*bits)) >= media.VOTES and media.same_scene(one, other)
+        wrong += before is not None and media.same_scene(before, other)
+        before = one
+    assert found >= 7 and wrong == 0
+
+
+def test_png_is_decoded():
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(2)
+    pixels = rng.integers(0, 256, (7, 5, 3)).astype(np.uint8)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines, flat = [], pixels.reshape(7, 15).astype(int)
+    for y in range(7):
+        how, row = y % 5, flat[y]
+        left = np.concatenate(([0] * 3, row[:-3]))
+        up = flat[y - 1] if y else np.zeros(15, int)
+        corner = np.concatenate(([0] * 3, up[:-3]))
+        p = left + up - corner
+        paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        lines.append(bytes([how]) + ((row - (0, left, up, (left + up) // 2, paeth)[how]) % 256).astype(np.uint8).tobytes())
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 7, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert np.allclose(media.decode(data), pixels.astype(np.float32) @ np.array([0.299, 0.587, 0.114], np.float32))
+    assert media.decode(data[:40]) is None and media.decode(b"\x89PNG\r\n\x1a\n") is None
