@@ -93,7 +93,15 @@ def merge_blocks(chunks: DataFrame) -> DataFrame:
     return out.select("book", F.col("root_page").alias("page_number"), F.col("root_block").alias("block_index"), "leftover", "seq", "sub", *[v.alias(c) for c, v in columns.items()])
 
 
+#: Closing places that are counted together before chunks are numbered.
+STRIP = 1 << 26
+
+
 def in_order(merged: DataFrame) -> DataFrame:
-    """Chunks with their ordinal in the closing order of their book."""
-    order = F.row_number().over(W.partitionBy("book").orderBy("leftover", "seq", "sub", "page_number", "block_index"))
-    return merged.withColumn("ordinal", (order - 1).cast("long"))
+    """Chunks with their ordinal in the closing order of their book: counts of strips carry the offsets, so a long book isn't one task."""
+    rows = merged.withColumn("__strip", F.floor(F.col("seq") / STRIP))
+    strips = rows.groupBy("book", "leftover", "__strip").agg(F.count("*").alias("__n"))
+    before = W.partitionBy("book").orderBy("leftover", "__strip").rowsBetween(W.unboundedPreceding, -1)
+    strips = strips.select("book", "leftover", "__strip", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    place = F.row_number().over(W.partitionBy("book", "leftover", "__strip").orderBy("seq", "sub", "page_number", "block_index"))
+    return rows.join(strips, ["book", "leftover", "__strip"]).withColumn("ordinal", (F.col("__off") + place - 1).cast("long")).drop("__strip", "__off")

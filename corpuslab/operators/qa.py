@@ -93,8 +93,8 @@ def mock_question(question_type: Column, lesson: Column, tag: Column, term: Colu
     )
 
 
-def mock_candidates(tasks: DataFrame) -> DataFrame:
-    """A candidate for each task (``task_id, question_type, chunk_id, lesson_number, text, term, formula, labels, description``), decided by the task alone."""
+def mock_candidates(tasks: DataFrame, *more: Column) -> DataFrame:
+    """A candidate for each task (``task_id, question_type, chunk_id, lesson_number, text, term, formula, labels, description``), decided by the task alone, with ``more`` columns of the task."""
     kind, text = F.col("question_type"), empty(F.col("text"))
     body = F.when(kind == "formula_retrieval", F.concat(F.lit("الصيغة: "), empty(F.col("formula")), F.lit(". "), text)).when(kind == "diagram_dependent", F.coalesce(F.when(strip(empty(F.col("description"))) != "", strip(F.col("description"))), text)).otherwise(text)
     return tasks.select(
@@ -102,7 +102,7 @@ def mock_candidates(tasks: DataFrame) -> DataFrame:
         mock_question(kind, empty(F.col("lesson_number")), F.col("chunk_id").cast("string"), F.coalesce("term", F.lit("المفهوم")), empty(F.col("labels"))).alias("question"),
         F.left(strip(body), F.lit(1000)).alias("answer"), F.lit("easy").alias("difficulty"),
         F.when(kind == "worked_example_reasoning", F.lit("reasoning")).otherwise(F.lit("extractive")).alias("answer_mode"),
-        (kind == "diagram_dependent").alias("required_diagram"), (kind == "formula_retrieval").alias("required_formula"), F.lit("generated").alias("status"),
+        (kind == "diagram_dependent").alias("required_diagram"), (kind == "formula_retrieval").alias("required_formula"), F.lit("generated").alias("status"), *more,
     )
 
 
@@ -134,8 +134,9 @@ def rejection(rules: Validation = Validation()) -> Column:
 
 def validate(candidates: DataFrame, rules: Validation = Validation()) -> DataFrame:
     """Candidates with ``rejection_reason``; of equal questions that pass the rules the one of smallest id stays."""
-    rows = candidates.withColumn("__reason", rejection(rules)).withColumn("__key", comparable(F.col("question")))
-    first = rows.where("__reason is null").groupBy("__key").agg(F.min("candidate_id").alias("__first"))
+    # questions meet by a digest of 128 bits, not by their texts
+    rows = candidates.withColumn("__reason", rejection(rules)).withColumn("__key", F.unhex(F.md5(comparable(F.col("question")))))
+    first = rows.where("__reason is null").groupBy("__key").agg(F.min("candidate_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     rows = rows.join(first, "__key", "left")
     twice = F.when(F.col("__reason").isNull() & (F.col("candidate_id") != F.col("__first")), F.concat(F.lit("duplicate of "), F.col("__first").cast("string")))
     return rows.withColumn("rejection_reason", F.coalesce("__reason", twice)).drop("__reason", "__key", "__first")
@@ -147,12 +148,14 @@ def finalize(candidates: DataFrame, knobs: Selection = Selection(), types: tuple
     At most ``per_chunk`` candidates of a chunk come into question, first in the shuffled order. With
     ``strict`` a type that falls short raises before anything is returned.
     """
-    out = None
-    for kind in types:
-        order = shuffled(knobs.seed, kind, F.col("candidate_id"))
-        rows = candidates.where(F.col("question_type") == kind).withColumn("__c", F.row_number().over(W.partitionBy("chunk_id").orderBy(order))).where(F.col("__c") <= knobs.per_chunk).drop("__c")
-        picked = _capped(rows, order, knobs.quota, -(-int(knobs.lesson_share * knobs.quota * 1000) // 1000), "lesson_number", True).drop("pass")
-        out = picked if out is None else out.unionByName(picked)
+    kind = F.col("question_type")
+    rows = candidates.where(kind.isin(*types)).withColumn("__o", F.sha2(F.concat_ws("|", F.lit(str(knobs.seed)), kind, F.col("candidate_id").cast("string")), 256)).withColumn("__k", empty(F.col("lesson_number")))
+    rank = lambda *by, order: F.row_number().over(W.partitionBy("question_type", *by).orderBy(*order))
+    rows = rows.withColumn("__c", rank("chunk_id", order=["__o"])).where(F.col("__c") <= knobs.per_chunk)
+    # all types at once; each rank is a group limit, so a task hands on a quota of each group at most
+    rows = rows.withColumn("__r", rank("__k", order=["__o"])).where(F.col("__r") <= knobs.quota)
+    rows = rows.withColumn("__late", F.col("__r") > -(-int(knobs.lesson_share * knobs.quota * 1000) // 1000))
+    out = rows.withColumn("__n", rank(order=["__late", "__o"])).where(F.col("__n") <= knobs.quota).drop("__o", "__k", "__c", "__r", "__late", "__n")
     if strict:
         have = {r[0]: r[1] for r in out.groupBy("question_type").count().collect()}
         short = {t: knobs.quota - have.get(t, 0) for t in types if have.get(t, 0) < knobs.quota}

@@ -120,11 +120,11 @@ def merge_blocks_full(spark, sf):
 
 @query
 def merge_blocks_simple(spark, sf):
-    """Inputs without key drift: every block of a page has its own key, so runs of continued blocks are islands."""
-    rows = B.as_chunks(A.blocks(spark, sf)).where("block_index = 0").withColumns({"content_type": F.lit("other"), "heading_ar": F.lit(None).cast("string"), "lesson_number": F.lit("1.1")})
-    rows = rows.withColumns({"continues": F.col("page_number") % 3 != 2, "continued": F.col("page_number") % 3 != 0})
+    """All blocks with one key a lesson: without key drift, runs of continued blocks are islands."""
+    rows = B.as_chunks(A.blocks(spark, sf)).withColumns({"content_type": F.lit("other"), "heading_ar": F.lit(None).cast("string")})
     out = merge.merge_plan(rows)
-    return out.select("book", F.col("root_page").alias("page_number"), F.array_join(F.col("pages"), "|").alias("pages"))
+    members = F.transform(F.arrays_zip("pages", "blocks"), lambda m: F.concat(m["pages"].cast("string"), F.lit(":"), m["blocks"].cast("string")))
+    return out.select("book", F.col("root_page").alias("page_number"), F.col("root_block").alias("block_index"), F.array_join(members, "|").alias("members"))
 
 
 @query
@@ -155,7 +155,8 @@ def ordered_union(spark, sf):
     return rows.select("page_number", "block_index", F.array_join("u", "|").alias("united"))
 
 
-def _block_table(spark, sf) -> DataFrame:
+@query
+def block_table(spark, sf):
     """Pages with nested blocks, exploded: the scan that samplers and chunkers share."""
     rows = A.blocks(spark, sf)
     nested = rows.groupBy("book", "page_number").agg(F.array_sort(F.collect_list(F.struct("block_index", "content_type", "text_ar"))).alias("content_blocks"))
@@ -163,17 +164,6 @@ def _block_table(spark, sf) -> DataFrame:
     return out.select("book", "page_number", "block_index", "content_type", F.length("text_ar").cast("long").alias("n_chars"))
 
 
-@query
-def block_table(spark, sf):
-    """A page range, as its SQL has it; :func:`block_table_full` is the whole table."""
-    return _block_table(spark, sf).where(readers.in_range(F.col("page_number"), 10, 500))
-
-
-@query
-def block_table_full(spark, sf):
-    return _block_table(spark, sf)
-
-
 @query
 def sample_blocks(spark, sf):
     """A sampling operator: its limit is the feature."""
@@ -368,13 +358,13 @@ def qa_selection(spark, sf):
 
 
 def _candidates(spark, sf) -> DataFrame:
-    chunks = B.as_chunks(A.blocks(spark, sf)).select("chunk_id", "content_type", F.col("main_text_ar").alias("text"), F.get("named_elements.definitions", F.lit(0)).alias("term"), F.get("math_expressions", F.lit(0)).alias("formula"), F.array_join(F.slice(F.coalesce(F.get("diagrams", F.lit(0))["labels"], F.array().cast("array<string>")), 1, 3), "، ").alias("labels"), F.get("diagrams", F.lit(0))["description"].alias("description"))
-    tasks = A.blocks(spark, sf)
-    picked = qa.eligibility(B.as_chunks(tasks)).select("chunk_id", "lesson_number", F.array_compact(F.array(*[F.when(F.col(f"is_{t}"), F.lit(t)) for t in QUESTION_TYPES])).alias("k")).select("chunk_id", "lesson_number", F.explode("k").alias("question_type"))
-    rows = picked.join(chunks, "chunk_id").withColumn("task_id", F.concat_ws(":", "question_type", "chunk_id"))
-    out = qa.mock_candidates(rows)
-    more = rows.select(F.concat("task_id", F.lit("-c0")).alias("candidate_id"), F.array("content_type").alias("source_types"), (F.coalesce("description", F.lit("")) != "").alias("described"))
-    return out.join(more, "candidate_id")
+    """A candidate for each chunk and type that it is eligible for, in one pass over the chunks."""
+    chunks = qa.eligibility(B.as_chunks(A.blocks(spark, sf)))
+    kinds = F.array_compact(F.array(*[F.when(F.col(f"is_{t}"), F.lit(t)) for t in QUESTION_TYPES]))
+    figure = F.get("diagrams", F.lit(0))
+    rows = chunks.select("chunk_id", "lesson_number", "content_type", F.col("main_text_ar").alias("text"), F.get("named_elements.definitions", F.lit(0)).alias("term"), F.get("math_expressions", F.lit(0)).alias("formula"), F.array_join(F.slice(F.coalesce(figure["labels"], F.array().cast("array<string>")), 1, 3), "، ").alias("labels"), figure["description"].alias("description"), F.explode(kinds).alias("question_type"))
+    rows = rows.withColumn("task_id", F.concat_ws(":", "question_type", "chunk_id"))
+    return qa.mock_candidates(rows, F.array("content_type").alias("source_types"), (F.coalesce("description", F.lit("")) != "").alias("described"))
 
 
 @query
@@ -505,49 +495,23 @@ def paired_differences(spark, sf):
 
 @query
 def paired_bootstrap(spark, sf):
-    """The first hundred questions and 200 resamples, as its SQL has them; :func:`paired_bootstrap_full` takes all."""
-    d = bootstrap.paired_differences(_mock_pairs(spark, sf), "proposed", "b2")
-    return bootstrap.bootstrap(quality.first(d, 100, "qa_id"), resamples=200)
-
-
-@query
-def paired_bootstrap_full(spark, sf):
     return bootstrap.bootstrap(bootstrap.paired_differences(_mock_pairs(spark, sf), "proposed", "b2"))
 
 
-def _cer(spark, sf, text_: F.Column) -> DataFrame:
+def _cer(spark, sf) -> DataFrame:
     """Conversation turns against themselves with letters changed."""
-    t = A.table(spark, sf, "conversations").select("conv_id", "turn", "role", text_.alias("truth"), F.regexp_replace(F.translate(text_, "eo", "o"), "th", "t").alias("reading"))
+    t = A.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("truth"), F.regexp_replace(F.translate("text", "eo", "o"), "th", "t").alias("reading"))
     return quality.cer_rows(t, "truth", "reading", ("conv_id", "turn", "role"))
 
 
-def _ascii() -> F.Column:
-    """For the queries with SQL, which counts bytes: characters outside ASCII go."""
-    return F.regexp_replace("text", r"[^\x00-\x7F]", "")
-
-
-def _cer_rows(rows: DataFrame) -> DataFrame:
-    return rows.select("conv_id", "turn", F.col("edits").cast("long").alias("edits"), F.col("length").cast("long").alias("length"), F.round("cer", 6).alias("cer"))
-
-
 @query
 def cer_blocks(spark, sf):
-    return _cer_rows(_cer(spark, sf, _ascii()))
-
-
-@query
-def cer_blocks_full(spark, sf):
-    return _cer_rows(_cer(spark, sf, F.col("text")))
+    return _cer(spark, sf).select("conv_id", "turn", F.col("edits").cast("long").alias("edits"), F.col("length").cast("long").alias("length"), F.round("cer", 6).alias("cer"))
 
 
 @query
 def cer_summary(spark, sf):
-    return quality.cer_summary(_cer(spark, sf, _ascii()), "role")
-
-
-@query
-def cer_summary_full(spark, sf):
-    return quality.cer_summary(_cer(spark, sf, F.col("text")), "role")
+    return quality.cer_summary(_cer(spark, sf), "role")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

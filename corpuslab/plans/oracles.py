@@ -113,7 +113,7 @@ ITEMS = """it AS (SELECT conv_id * 1000 + turn AS qa_id, CASE WHEN turn % 2 = 0
 MOCK_PAIRS = """mp AS (SELECT doc_id AS qa_id, CASE WHEN s = 'b2' AND doc_id % 7 = 0 THEN NULL ELSE (('0x' || substr(sha256(doc_id || '|' || s), 1, 8))::UBIGINT % 1001) / 1000 END::DOUBLE AS score, s FROM (SELECT doc_id, unnest(['proposed', 'b2']) AS s FROM labels)),
 dif AS (SELECT a.qa_id, 'context_recall' AS metric, a.score - b.score AS difference FROM mp a JOIN mp b ON a.qa_id = b.qa_id AND a.s = 'proposed' AND b.s = 'b2' WHERE a.score IS NOT NULL AND b.score IS NOT NULL)"""
 
-CER = r"""c AS (SELECT conv_id, turn, role, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS p FROM conversations),
+CER = r"""c AS (SELECT conv_id, turn, role, text AS p FROM conversations),
 n AS (SELECT conv_id, turn, role, trim(regexp_replace(p, '\s+', ' ', 'g')) AS a, trim(regexp_replace(replace(translate(p, 'eo', 'o'), 'th', 't'), '\s+', ' ', 'g')) AS b FROM c),
 e AS (SELECT conv_id, turn, role, levenshtein(a, b) AS edits, length(a) AS length FROM n WHERE length(a) > 0)"""
 
@@ -166,11 +166,10 @@ pl AS (SELECT *, row_number() OVER (PARTITION BY question_type, coalesce(lesson_
 pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_type ORDER BY CASE WHEN r > 6 THEN 2 ELSE 1 END, o) AS n FROM pl) WHERE n <= 20)
 SELECT printf('qa-%04d', row_number() OVER (ORDER BY list_position({_list(QUESTION_TYPES)}, question_type), candidate_id)) AS qa_id, candidate_id, question_type, lesson_number FROM pk"""
 
-MERGED = f"""WITH {PAGES}, r AS (SELECT book, page_number, min(block_index) AS b FROM (SELECT book, page_number, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_index FROM pages_) WHERE trim(t) <> '' GROUP BY ALL),
-o AS (SELECT book, page_number, page_number % 3 <> 2 AS onward, page_number % 3 <> 0 AS onto FROM r WHERE b = 0),
-s AS (SELECT *, lag(onward) OVER w AS was FROM o WINDOW w AS (PARTITION BY book ORDER BY page_number)),
-g AS (SELECT *, sum(CASE WHEN onto AND coalesce(was, false) THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY page_number) AS island FROM s)
-SELECT book, min(page_number) AS page_number, string_agg(page_number::VARCHAR, '|' ORDER BY page_number) AS pages FROM g GROUP BY book, island"""
+MERGED = f"""WITH {BLOCKS}, o AS (SELECT book, page_number, block_index, lesson_number, (page_number * 3 + block_index) % 4 = 0 AS onward, (page_number * 3 + block_index) % 4 = 1 AS onto FROM chunks_),
+s AS (SELECT *, lag(onward) OVER w AS was FROM o WINDOW w AS (PARTITION BY book, lesson_number ORDER BY page_number, block_index)),
+g AS (SELECT *, sum(CASE WHEN onto AND coalesce(was, false) THEN 0 ELSE 1 END) OVER (PARTITION BY book, lesson_number ORDER BY page_number, block_index) AS island FROM s)
+SELECT book, min(page_number) AS page_number, arg_min(block_index, page_number * 1048576 + block_index)::INT AS block_index, string_agg(page_number || ':' || block_index, '|' ORDER BY page_number, block_index) AS members FROM g GROUP BY book, lesson_number, island"""
 
 CONTEXT = f"""WITH {LEXICAL}, h AS (SELECT hits.*, {tokens('text')} AS t FROM hits JOIN documents ON doc_id = chunk_id),
 p AS (SELECT *, len(t) AS b, coalesce(sum(len(t) + 2) OVER (PARTITION BY qa_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM h),
@@ -201,7 +200,7 @@ d AS (SELECT *, greatest(0, floor(x1 * 1000)::INT - 12) AS "left", greatest(0, f
 SELECT page_number, block_index, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, "left", top, "right", bottom FROM d WHERE "left" < "right" AND top < bottom""",
     "index_metadata": f"WITH {BLOCKS} SELECT chunk_id, page_number AS page_range_start, page_number AS page_range_end, coalesce(unit_number, 0) AS unit_number, lesson_number, {_cut(200, '...')} AS content_text_ar, content_type, has_diagram, k::VARCHAR AS problem_numbers, 1::INT AS source_block_count FROM chunks_",
     "ordered_union": f"""WITH {BLOCKS}, u AS (SELECT page_number, block_index, list_concat(math, [k::VARCHAR, 'A']) AS l FROM chunks_) SELECT page_number, block_index, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS united FROM u""",
-    "block_table": f"WITH {BLOCKS} SELECT book, page_number, block_index, content_type, length(text_ar) AS n_chars FROM chunks_ WHERE page_number BETWEEN 10 AND 500 AND content_type <> 'other'",
+    "block_table": f"WITH {BLOCKS} SELECT book, page_number, block_index, content_type, length(text_ar) AS n_chars FROM chunks_ WHERE content_type <> 'other'",
     "sample_blocks": f"WITH {BLOCKS} SELECT page_number || '-' || block_index AS block_id, content_type FROM chunks_ ORDER BY sha256('7|' || page_number || '-' || block_index), block_id LIMIT 50",
     "lexical_topk": f"WITH {LEXICAL} SELECT * FROM hits",
     "dense_topk": """SELECT qa_id, chunk_id, rank, round(s, 6) AS score FROM (SELECT q.vec_id AS qa_id, v.vec_id AS chunk_id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id)::INT AS rank FROM
@@ -252,11 +251,14 @@ SELECT qa_id, metric, judge_status, CASE WHEN judge_status = 'scored' THEN (('0x
     "judge_context_stats": f"""WITH {RECORDS}, o AS (SELECT system, qa_id, min_by(context_token_count, line) AS c, min_by(context_truncated, line) AS x FROM rec GROUP BY ALL)
 SELECT r.system, retries, mean_tokens, max_tokens, n_truncated, truncation_rate FROM (SELECT system, sum(retries_used)::BIGINT AS retries FROM rec GROUP BY system) r JOIN (SELECT system, round(avg(c), 6) AS mean_tokens, max(c) AS max_tokens, count(*) FILTER (x) AS n_truncated, round(avg(x::INT), 6) AS truncation_rate FROM o GROUP BY system) s USING (system)""",
     "paired_differences": f"WITH {MOCK_PAIRS} SELECT qa_id, metric, round(difference, 6) AS difference FROM dif",
-    "paired_bootstrap": f"""WITH {MOCK_PAIRS}, l AS (SELECT list(difference ORDER BY qa_id) AS d FROM (SELECT * FROM dif ORDER BY qa_id LIMIT 100)),
-b AS (SELECT d, len(d) AS n, unnest(range(200)) AS b FROM l),
-m AS (SELECT b, n, d, (SELECT sum(d[(('0x' || substr(sha256('7-' || b || '-' || i), 1, 8))::UBIGINT % n + 1)::BIGINT]) / n FROM range(100) t(i) WHERE i < n) AS m FROM b),
+    "paired_bootstrap": f"""WITH {MOCK_PAIRS}, l AS (SELECT list(difference ORDER BY qa_id) AS d FROM dif),
+b AS (SELECT len(d) AS n, unnest(range(2000)) AS b FROM l),
+r AS (SELECT b, n, unnest(range(n)) AS i FROM b),
+w AS (SELECT b, (('0x' || substr(sha256('7-' || b || '-' || i), 1, 8))::UBIGINT % n + 1)::BIGINT AS j FROM r),
+x AS (SELECT row_number() OVER (ORDER BY qa_id) AS j, difference FROM dif),
+m AS (SELECT b, sum(difference) / count(*) AS m FROM w JOIN x USING (j) GROUP BY b),
 o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m)
-SELECT 'context_recall' AS metric, (SELECT len(d) FROM l) AS n, (SELECT round(list_avg(d), 6) FROM l) AS mean, round(max(m) FILTER (r = 5), 6) AS lower, round(max(m) FILTER (r = 194), 6) AS upper FROM o""",
+SELECT 'context_recall' AS metric, (SELECT len(d) FROM l) AS n, (SELECT round(list_avg(d), 6) FROM l) AS mean, round(max(m) FILTER (r = 50), 6) AS lower, round(max(m) FILTER (r = 1949), 6) AS upper FROM o""",
     "cer_blocks": f"WITH {CER} SELECT conv_id, turn, edits, length, round(edits / length, 6) AS cer FROM e",
     "cer_summary": f"WITH {CER} SELECT role, count(*) AS n, round(sum(edits) / sum(length), 6) AS micro_cer, round(avg(edits / length), 6) AS macro_cer FROM e GROUP BY role",
 }
