@@ -29,6 +29,11 @@ def unfenced(reply: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(reply, F.lit("")), r"(?im)^\s*```(?:json)?\s*$|```(?:json)?", ""))
 
 
+def bare(reply: str) -> str:
+    """The same in Python, for providers."""
+    return re.sub(r"(?im)^\s*```(?:json)?\s*$|```(?:json)?", "", reply).strip()
+
+
 _PIECE = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
 
 

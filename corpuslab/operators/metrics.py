@@ -58,3 +58,26 @@ def deltas(summaries: DataFrame, a: str, b: str, keys: tuple[str, ...] = ("quest
     left, right = long.where(F.col("system") == a), long.where(F.col("system") == b)
     both = left.select(*keys, "metric", F.col("value").alias("a")).join(right.select(*keys, "metric", F.col("value").alias("b")), [*keys, "metric"])
     return both.withColumn("difference", F.round(F.col("a") - F.col("b"), 6))
+
+
+def full_summary(scores: DataFrame, types: tuple[str, ...], ks: tuple[int, ...] = (1, 5), by: str = "question_type") -> DataFrame:
+    """All of a run's figures, over everything and by type: also the contexts' tokens and how many questions have gold.
+
+    ``scores`` has ``n_targets`` and ``token_count`` beside the ranks. ``position`` orders the rows: all questions first, then ``types`` in
+    their order, then types that nobody expected, by name. No questions give a row of zeros.
+    """
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    with_gold = F.count_if(F.coalesce("n_targets", F.lit(0)) > 0)
+    out = scores.withColumn("__t", F.coalesce(by, F.lit(""))).rollup("__t").agg(
+        F.count("*").alias("n_questions"), mean(F.col("reciprocal_rank")).alias("mrr"), mean(F.col("recall")).alias("recall"), *[mean(F.col(f"hit_at_{k}").cast("double")).alias(f"hit_at_{k}") for k in ks],
+        mean(F.coalesce("token_count", F.lit(0))).alias("context_tokens_mean"), F.coalesce(F.sum("token_count"), F.lit(0)).cast("long").alias("context_tokens"),
+        with_gold.alias("with_gold"), (F.count("*") - with_gold).alias("without_gold"), F.grouping("__t").alias("__all"),
+    )
+    place = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("__t"))
+    position = F.when(F.col("__all") == 1, 0).when(place > 0, place).otherwise(len(types) + 1).cast("int")
+    return out.withColumns({"position": position, by: F.when(F.col("__all") == 1, F.lit("overall")).otherwise(F.col("__t"))}).drop("__t", "__all")
+
+
+def unexpected(scores: DataFrame, types: tuple[str, ...], by: str = "question_type") -> DataFrame:
+    """Values that are not among the expected ones, with their counts."""
+    return scores.where(~F.coalesce(F.col(by).isin(*types), F.lit(False))).groupBy(by).agg(F.count("*").alias("n"))

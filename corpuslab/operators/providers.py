@@ -8,6 +8,8 @@ executors in Arrow batches. Paid calls are not repeated by speculation: keep
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,28 +59,50 @@ def mock_judge(prompts: list[str]) -> list[str]:
     return [f'{{"score": {int(hashlib.sha256(p.encode()).hexdigest()[:8], 16) % 1001 / 1000}, "rationale": "digest"}}' for p in prompts]
 
 
-CALLS = "array<struct<attempt: int, prompt_sha256: string, prompt_chars: int, raw_response: string, error: string>>"
+CALLS = "array<struct<attempt: int, prompt_sha256: string, prompt_chars: int, raw_response: string, error: string, latency_ms: long, at: timestamp>>"
 
 
-def ask(rows: DataFrame, prompt: str, provider: Reply, max_retries: int = 2, good: Callable[[str], bool] | None = None) -> DataFrame:
-    """``rows`` with ``calls``: up to ``max_retries`` + 1 attempts each, until one is good; errors are kept as text."""
-    fine = good or (lambda reply: (judging._balanced(reply) or "").count('"score"') > 0)
+def scored(reply: str | None) -> bool:
+    """Whether a reply is a JSON object with a score in [0, 1]; recovered scores are not enough to stop."""
+    try:
+        score = json.loads(judging._balanced(judging.bare(reply or "")) or "null")["score"]
+        return 0 <= float(score) <= 1
+    except (ValueError, TypeError, KeyError):
+        return False
+
+
+def ask(rows: DataFrame, prompt: str, provider: Reply, max_retries: int = 2, good: Callable[[str | None], bool] = scored, batch: int = 32) -> DataFrame:
+    """``rows`` with ``calls``: up to ``max_retries`` + 1 attempts each, until one is good; errors are kept as text.
+
+    A provider gets up to ``batch`` prompts at a time; if it fails with several, each is asked alone.
+    """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
+    def asked(prompts: list[str]) -> list[tuple]:
+        start = time.monotonic()
+        try:
+            replies = provider(prompts)
+            if len(replies) != len(prompts):
+                raise ValueError("a reply for each prompt is needed")
+            return [(r, None, start) for r in replies]
+        except Exception as e:  # a failed call is a recorded outcome
+            return [(None, f"{type(e).__name__}: {e}", start)] if len(prompts) == 1 else [x for p in prompts for x in asked([p])]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            logs = []
-            for p in pdf[prompt]:
-                log = []
-                for attempt in range(max_retries + 1):
-                    try:
-                        reply, error = provider([p])[0], None
-                    except Exception as e:  # a failed call is a recorded outcome
-                        reply, error = None, f"{type(e).__name__}: {e}"
-                    log.append({"attempt": attempt, "prompt_sha256": hashlib.sha256(p.encode()).hexdigest(), "prompt_chars": len(p), "raw_response": reply, "error": error})
-                    if error is None and fine(reply):
-                        break
-                logs.append(log)
+            prompts = list(pdf[prompt])
+            logs: list[list] = [[] for _ in prompts]
+            left = list(range(len(prompts)))
+            for attempt in range(max_retries + 1):
+                again = []
+                for lo in range(0, len(left), batch):
+                    some = left[lo : lo + batch]
+                    for i, (reply, error, start) in zip(some, asked([prompts[i] for i in some])):
+                        p = prompts[i]
+                        logs[i].append({"attempt": attempt, "prompt_sha256": hashlib.sha256(p.encode()).hexdigest(), "prompt_chars": len(p), "raw_response": reply, "error": error, "latency_ms": int(1000 * (time.monotonic() - start)), "at": pd.Timestamp.now("UTC")})
+                        if error is not None or not good(reply):
+                            again.append(i)
+                left = again
             yield pdf.assign(calls=logs)
 
     return rows.mapInPandas(run, f"{kinds}, calls {CALLS}")
@@ -93,5 +117,6 @@ def outcomes(asked: DataFrame) -> DataFrame:
 
 
 def call_log(asked: DataFrame, *keys: str) -> DataFrame:
-    """A row for each attempt."""
-    return asked.select(*keys, F.explode("calls").alias("c")).select(*keys, "c.*")
+    """A row for each attempt, with when and how long, and the status that its reply parses to."""
+    rows = asked.select(*keys, F.explode("calls").alias("c")).select(*keys, "c.*")
+    return rows.withColumn("parse_status", F.when(F.col("error").isNotNull(), F.lit(judging.API_ERROR)).otherwise(judging.parsed(F.col("raw_response"))["status"]))

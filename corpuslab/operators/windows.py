@@ -90,3 +90,16 @@ def coverage_maps(coverage: DataFrame) -> DataFrame:
         F.map_from_arrays(F.transform("__r", lambda x: x["block_id"]), F.transform("__r", lambda x: x["n_tokens"])).alias("source_block_unit_counts"),
         F.map_from_arrays(F.transform("__r", lambda x: x["block_id"]), F.transform("__r", lambda x: x["coverage"])).alias("source_block_coverage"),
     )
+
+
+def block_unions(coverage: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(stream_id, window, diagram_image_urls, standards, has_diagram, has_math)`` of the blocks that gave a window text.
+
+    ``blocks(block_id, position, diagram_image_urls, standards, has_diagram, has_math)``: lists are united in the order of
+    ``position``, flags by or; a page's other blocks give nothing. Windows without known blocks have empty lists and no flags.
+    """
+    rows = coverage.select("stream_id", "window", "block_id").join(blocks, "block_id", "left")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", "diagram_image_urls", "standards"))))
+    out = rows.groupBy("stream_id", "window").agg(ordered.alias("__b"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("has_diagram", "has_math")])
+    united = lambda c: F.array_distinct(F.flatten(F.transform("__b", lambda b: F.coalesce(b[c], F.array().cast("array<string>"))))).alias(c)
+    return out.select("stream_id", "window", united("diagram_image_urls"), united("standards"), "has_diagram", "has_math")

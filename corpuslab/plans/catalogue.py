@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import judging, text
 from corpuslab.operators import blocks as B
-from corpuslab.operators import bootstrap, context, fill, gold, judge, merge, metrics, qa, quality, retrieval, windows
+from corpuslab.operators import bootstrap, context, fill, generation, gold, integrity, judge, merge, metrics, qa, quality, retrieval, windows
 from corpuslab.plans.config import QUESTION_TYPES
 from corpuslab.plans.oracles import ORACLES  # noqa: F401
 from corpuslab.sources import adapters as A
@@ -69,6 +69,19 @@ def first_page_metadata(spark, sf):
     return out.select("chunk_id", "stream_id", "first_page", "unit_number", "lesson_number", "n_tokens")
 
 
+@query
+def window_unions(spark, sf):
+    """Addresses, standards and flags of the blocks that gave each window text."""
+    k = F.col("page_number") + F.col("block_index")
+    none = F.array().cast("array<string>")
+    rows = A.blocks(spark, sf).select(
+        F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("-b"), F.col("block_index").cast("string")).alias("block_id"), (F.col("page_number").cast("long") * (1 << 20) + F.col("block_index")).alias("position"),
+        F.when(F.size("diagrams") > 0, F.array(F.concat(F.lit("u/"), F.col("page_number").cast("string")))).otherwise(none).alias("diagram_image_urls"), "named_elements.standards", (F.size("diagrams") > 0).alias("has_diagram"), (k % 5 == 0).alias("has_math"),
+    )
+    out = windows.block_unions(windows.block_coverage(A.block_segments(spark, sf)), rows)
+    return out.select("stream_id", "window", F.array_join("diagram_image_urls", "|").alias("urls"), F.array_join("standards", "|").alias("standards"), "has_diagram", "has_math")
+
+
 # --- pages and blocks
 
 
@@ -214,6 +227,38 @@ def retrieval_summary_by_type(spark, sf):
     return metrics.summary(_scored(spark, sf), by="question_type")
 
 
+@query
+def retrieval_summary_full(spark, sf):
+    """Also the contexts' tokens and how many questions have gold, types in canonical order."""
+    q, g = A.questions(spark, sf), A.containment_gold(spark, sf)
+    hits = lexical_topk(spark, sf)
+    scores = metrics.question_scores(q.select("qa_id", "question_type"), hits, g).join(metrics.gold_recall(q, hits, g).select("qa_id", "recall", "n_targets"), "qa_id")
+    contexts = context.assemble(hits.join(A.corpus(spark, sf).select("chunk_id", "text"), "chunk_id"), 600).select("qa_id", "token_count")
+    return metrics.full_summary(scores.join(contexts, "qa_id", "left"), QUESTION_TYPES)
+
+
+@query
+def unexpected_types(spark, sf):
+    return metrics.unexpected(_turns(spark, sf), QUESTION_TYPES)
+
+
+@query
+def report_integrity(spark, sf):
+    """Two runs over the same questions with faults put in: missing and repeated ids, other labels, types that differ."""
+    q = A.questions(spark, sf).select("qa_id", "question_type")
+    named = lambda df, s: df.withColumn("system", F.lit(s))
+    other = q.where("qa_id % 9 <> 0").withColumn("question_type", F.when(F.col("qa_id") % 11 != 0, F.col("question_type")))
+    records = named(q, "proposed").unionByName(named(q.where("qa_id % 13 = 0"), "proposed")).unionByName(named(other, "b2")).unionByName(named(q.where("qa_id % 17 = 0"), "b9"))
+    n = q.agg(F.count("*").alias("n"), F.lit(5).alias("top_k"))
+    return integrity.retrieval_inputs(records, named(n, "proposed").unionByName(named(n, "b2")), ("proposed", "b2"))
+
+
+@query
+def judge_integrity(spark, sf):
+    rows = A.judge_records(spark, sf).groupBy("system", "metric").agg(F.count("*").alias("n")).withColumn("context_budget", F.when(F.col("system") == "b2", 512).otherwise(256))
+    return integrity.judge_inputs(rows, ("proposed", "b2", "b1"))
+
+
 @query
 def top_k_misses(spark, sf):
     return metrics.misses(_scored(spark, sf)).select("qa_id", "question_type")
@@ -377,6 +422,40 @@ def qa_validation(spark, sf):
     return qa.validate(_candidates(spark, sf)).select("candidate_id", "rejection_reason")
 
 
+def _replies(spark, sf) -> DataFrame:
+    """Conversation turns as answered tasks: fenced and plain objects, empty, broken and other replies, failed calls."""
+    k = F.col("conv_id") + F.col("turn")
+    task = F.concat_ws("-", F.lit("task"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    q = F.concat(F.lit('"question_ar": "Q '), F.md5("text"), F.lit('"'))
+    raw = (
+        F.when(k % 6 == 0, F.concat(F.lit("```json\n{"), q, F.lit(', "answer_reference_ar": "A", "difficulty": "hard", "required_formula": true}\n```')))
+        .when(k % 6 == 1, F.concat(F.lit("{"), q, F.lit("}"))).when(k % 6 == 2, F.lit("  ")).when(k % 6 == 3, F.lit("no json")).when(k % 6 == 4, F.lit("[1, 2]"))
+        .otherwise(F.concat(F.lit("{"), q, F.lit(', "answer_mode": "reasoning", "required_diagram": 1, "required_formula": false}')))
+    )
+    return A.table(spark, sf, "conversations").select(task.alias("task_id"), F.element_at(F.array(*[F.lit(t) for t in QUESTION_TYPES]), (k % 5 + 1).cast("int")).alias("question_type"), raw.alias("raw_response"), F.when(F.col("conv_id") % 7 == 0, F.lit("down")).alias("error"))
+
+
+@query
+def qa_reply_candidates(spark, sf):
+    return generation.candidates(_replies(spark, sf)).select("candidate_id", "question_type", "question", "answer", "difficulty", "answer_mode", "required_diagram", "required_formula", "parse_error", "status")
+
+
+@query
+def qa_unanswered(spark, sf):
+    """Tasks of a resumed run: those without any record, failed ones are not asked again."""
+    tasks = _replies(spark, sf).select("task_id", "question_type")
+    return generation.unanswered(tasks, generation.candidates(_replies(spark, sf).where("error is not null or question_type <> 'theorem_statement'")))
+
+
+@query
+def qa_evidence(spark, sf):
+    """The prompt of each chunk's task, from its snapshot."""
+    rows = B.as_chunks(A.blocks(spark, sf))
+    payload = generation.snapshot(rows)
+    text = generation.prompt(F.lit("Ask."), F.array(payload), "Answer with JSON.")
+    return rows.select("page_number", "block_index", F.md5(F.regexp_extract(text, r"(?s)^(.*?)(?:\nFormulas|\nDiagram|\n\nAnswer with JSON)", 1)).alias("text_md5"), text.endswith("\n\nAnswer with JSON.").alias("ends"))
+
+
 @query
 def qa_rejections(spark, sf):
     """Conversation turns as candidates: every rule meets rows that break it."""

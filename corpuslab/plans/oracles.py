@@ -208,6 +208,27 @@ SELECT page_number, block_index, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x
   JOIN embeddings q ON q.vec_id = qv JOIN embeddings v ON v.vec_id = cv) WHERE rank <= 5""",
     "lexical_hits": f"WITH {LEXICAL} SELECT qa_id, rank, chunk_id, score, length(text) AS n_chars, lang FROM hits LEFT JOIN documents ON doc_id = chunk_id",
     "retrieval_scores": f"{SCORED} SELECT qa_id, question_type, first_rank, round(rr, 6) AS reciprocal_rank, hit_at_1, hit_at_5, recall FROM scored",
+    "window_unions": f"""WITH {BLOCK_SEGMENTS}, {STREAM}, m AS (SELECT DISTINCT stream_id, "window", page_number, regexp_extract(block_id, '-b([0-9]+)$', 1)::INT AS i FROM inwin),
+n AS (SELECT *, page_number + i AS k, page_number * 1048576 + i AS place FROM m),
+u AS (SELECT stream_id, "window", string_agg(v, '|' ORDER BY place) AS urls FROM (SELECT stream_id, "window", 'u/' || page_number AS v, min(place) AS place FROM n WHERE k % 4 = 0 GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT stream_id, "window", string_agg(v, '|' ORDER BY place) AS standards FROM (SELECT stream_id, "window", 'S' || (k % 3) AS v, min(place) AS place FROM n WHERE k % 10 = 0 GROUP BY ALL) GROUP BY ALL)
+SELECT stream_id, "window", coalesce(any_value(urls), '') AS urls, coalesce(any_value(standards), '') AS standards, bool_or(k % 4 = 0) AS has_diagram, bool_or(k % 5 = 0) AS has_math FROM n LEFT JOIN u USING (stream_id, "window") LEFT JOIN s USING (stream_id, "window") GROUP BY ALL""",
+    "retrieval_summary_full": f"""{CONTEXT}, {SCORED[len(f"WITH {LEXICAL}, ") :]}, z AS (SELECT scored.*, coalesce(token_count, 0) AS tc FROM scored LEFT JOIN ctx USING (qa_id))
+SELECT (CASE WHEN question_type IS NULL THEN 0 ELSE list_position({_list(QUESTION_TYPES)}, question_type) END)::INT AS position, coalesce(question_type, 'overall') AS question_type, {_MEANS},
+  round(avg(tc), 6) AS context_tokens_mean, sum(tc)::BIGINT AS context_tokens, sum(mapped)::BIGINT AS with_gold, (count(*) - sum(mapped))::BIGINT AS without_gold FROM z GROUP BY ROLLUP (question_type)""",
+    "unexpected_types": f"WITH {TURNS} SELECT question_type, count(*) AS n FROM tu WHERE question_type NOT IN {_in(QUESTION_TYPES)} GROUP BY ALL",
+    "report_integrity": """WITH c AS (SELECT count(*) FILTER (item_id % 17 = 0) AS other, count(*) FILTER (item_id % 13 = 0) AS twice, count(*) FILTER (item_id % 9 = 0) AS gone, count(*) FILTER (item_id % 11 = 0 AND item_id % 9 <> 0) AS types FROM benchmark)
+SELECT unnest(['summary_for_each_system', 'records_are_labelled', 'counts_agree', 'ids_are_there', 'ids_are_unique', 'ids_are_the_same', 'types_agree', 'one_top_k']) AS "check",
+  unnest([0, other, (twice > 0)::INT + (gone > 0)::INT, 0, twice, gone, types, 0])::BIGINT AS n_failures FROM c""",
+    "judge_integrity": """SELECT unnest(['no_other_system', 'every_system', 'dimensions', 'one_budget']) AS "check", unnest([0, 1, 1, 1])::BIGINT AS n_failures""",
+    "qa_reply_candidates": f"""WITH t AS (SELECT 'task-' || conv_id || '-' || turn AS task, conv_id % 7 = 0 AS down, (conv_id + turn) % 6 AS k, {_list(QUESTION_TYPES)}[((conv_id + turn) % 5 + 1)::INT] AS question_type, md5(text) AS m FROM conversations),
+g AS (SELECT *, NOT down AND k IN (0, 1, 5) AS good FROM t)
+SELECT task || '-c0' AS candidate_id, question_type, CASE WHEN good THEN 'Q ' || m END AS question, CASE WHEN good AND k = 0 THEN 'A' END AS answer, CASE WHEN good THEN CASE k WHEN 0 THEN 'hard' ELSE 'easy' END END AS difficulty,
+  CASE WHEN good THEN CASE k WHEN 5 THEN 'reasoning' ELSE 'extractive' END END AS answer_mode, CASE WHEN good THEN k = 5 END AS required_diagram, CASE WHEN good THEN k = 0 END AS required_formula,
+  CASE WHEN down THEN 'down' WHEN k = 2 THEN 'empty response' WHEN k = 3 THEN 'json decode error' WHEN k = 4 THEN 'response was not a JSON object' END AS parse_error,
+  CASE WHEN down THEN 'generation_failed' WHEN good THEN 'generated' ELSE 'parse_failed' END AS status FROM g""",
+    "qa_unanswered": f"SELECT 'task-' || conv_id || '-' || turn AS task_id, 'theorem_statement' AS question_type FROM conversations WHERE conv_id % 7 <> 0 AND {_list(QUESTION_TYPES)}[((conv_id + turn) % 5 + 1)::INT] = 'theorem_statement'",
+    "qa_evidence": f"""WITH {BLOCKS} SELECT page_number, block_index, md5('Ask.' || chr(10) || chr(10) || '--- Source ---' || chr(10) || concat_ws(chr(10), 'Lesson: ' || {strip("lesson_number || ' ' || lesson_title_ar")}, 'Content type: ' || content_type, 'Heading: ' || heading_ar, 'Text:' || chr(10) || {strip("text_ar")})) AS text_md5, true AS ends FROM chunks_""",
     "retrieval_summary": f"{SCORED} SELECT {_MEANS} FROM scored",
     "retrieval_summary_by_type": f"{SCORED} SELECT coalesce(question_type, 'overall') AS question_type, {_MEANS} FROM scored GROUP BY ROLLUP (question_type)",
     "top_k_misses": f"{SCORED} SELECT qa_id, question_type FROM scored WHERE NOT hit_at_5",

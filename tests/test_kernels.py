@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.functions import judging, text
-from corpuslab.operators import blocks, bootstrap, context, fill, gold, judge, merge, metrics, qa, quality, retrieval, windows
+from corpuslab.operators import blocks, bootstrap, context, fill, generation, gold, integrity, judge, merge, metrics, qa, quality, retrieval, windows
 from corpuslab.plans.config import Settings, as_dict, override
 
 
@@ -177,3 +177,54 @@ def test_settings():
         override(Settings(), {"nothing": 1})
     with pytest.raises(ValueError, match="unknown"):
         override(Settings(), {"system": "b1"})
+
+
+def test_replies_become_candidates(spark):
+    data = [
+        ("t1", '```json\n{"question_ar": "q", "answer_reference_ar": "a", "required_diagram": "yes", "required_formula": []}\n```', None), ("t2", "[]", None), ("t3", "", None), ("t4", None, None),
+        ("t5", '{"question_ar": null, "difficulty": null}', None), ("t6", '{"question_ar": "q"}', "timeout"), ("t7", '{"question_ar": "q"', None),
+    ]
+    tasks = spark.createDataFrame(data, "task_id string, raw_response string, error string").withColumns({"question_type": F.lit("theorem_statement"), "pages": F.array(F.lit(3))})
+    got = {r["task_id"]: r for r in generation.candidates(tasks, keep=("pages",)).collect()}
+    assert [got[f"t{i}"]["status"] for i in range(1, 8)] == ["generated", "parse_failed", "parse_failed", "parse_failed", "generated", "generation_failed", "parse_failed"]
+    one = got["t1"]
+    assert (one["question"], one["answer"], one["difficulty"], one["answer_mode"], one["required_diagram"], one["required_formula"], one["pages"]) == ("q", "a", "easy", "extractive", True, False, [3])
+    assert got["t5"]["question"] is None and got["t6"]["parse_error"] == "timeout" and got["t2"]["parse_error"] == "response was not a JSON object" and got["t6"]["difficulty"] is None
+    done = generation.candidates(tasks.where("task_id < 't4'"))
+    assert rows(generation.unanswered(tasks, done).select("task_id"), "task_id") == [("t4",), ("t5",), ("t6",), ("t7",)]
+    assert generation.unanswered(tasks, done, force=True).count() == 7 and generation.unanswered(tasks, None).count() == 7
+    final = generation.final_records(generation.candidates(tasks).where("task_id = 't5'").withColumns({"qa_id": F.lit("qa-0001"), "gold_page_numbers": F.lit(None).cast("array<int>")})).first()
+    assert (final["question"], final["gold_page_numbers"], final["status"], final["difficulty"]) == ("", [], "validated", "easy")
+
+
+def test_prompts_number_their_sources(spark):
+    chunk = spark.createDataFrame([("c", "1.1", "T", "theorem", None, " text ", None)], "chunk_id string, lesson_number string, lesson_title_ar string, content_type string, heading_ar string, main_text_ar string, math_expressions array<string>")
+    chunk = chunk.withColumn("diagrams", F.array(F.struct(F.lit(" d ").alias("description"), F.array(F.lit("A")).alias("labels")), F.struct(F.lit("").alias("description"), F.array().cast("array<string>").alias("labels"))))
+    p = generation.snapshot(chunk)
+    one, two = chunk.select(generation.prompt(F.lit("Do."), F.array(p), "Form."), generation.prompt(F.lit("Do."), F.array(p, p), "Form.")).first()
+    body = 'Lesson: 1.1 T\nContent type: theorem\nText:\ntext\nDiagram(s): [{"description":"d","labels":["A"]}]'
+    assert one == f"Do.\n\n--- Source ---\n{body}\n\nForm." and two.count("--- Source 1 ---") == two.count("--- Source 2 ---") == 1
+
+
+def test_inputs_of_reports(spark):
+    records = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y"), ("b", "1", "x"), ("b", "2", "y")], "system string, qa_id string, question_type string")
+    summaries = spark.createDataFrame([("a", 2, 5), ("b", 2, 5)], "system string, n long, top_k int")
+    integrity.required(integrity.retrieval_inputs(records, summaries, ("a", "b")))
+    bad = {r["check"]: r["n_failures"] for r in integrity.retrieval_inputs(records.where("not (system = 'b' and qa_id = '2')"), summaries.withColumn("top_k", F.when(F.col("system") == "a", 5).otherwise(0)), ("a", "b")).collect()}
+    assert {k for k, v in bad.items() if v} == {"counts_agree", "ids_are_the_same", "one_top_k"}
+    with pytest.raises(ValueError, match="every_system"):
+        integrity.required(integrity.judge_inputs(spark.createDataFrame([("a", "m", 256)], "system string, metric string, context_budget int"), ("a", "b")))
+    ends = spark.createDataFrame([([3, 5], 9), ([3], 9), (None, 9), (None, None), ([None, 4], 2)], "p array<int>, n int").select(*integrity.page_range(F.col("p"), F.col("n")))
+    assert rows(ends) == [(3, 5), (9, 9), (9, 9), (-1, -1), (2, 2)]
+
+
+def test_unions_and_full_summary(spark):
+    cover = spark.createDataFrame([("s", 0, "b1"), ("s", 0, "b2"), ("s", 1, "b3"), ("s", 2, "none")], "stream_id string, window long, block_id string")
+    blocks_ = spark.createDataFrame([("b1", 2, ["u2", "u1"], None, True, False), ("b2", 1, ["u1"], ["s"], False, False), ("b3", 3, [], [], None, True)], "block_id string, position long, diagram_image_urls array<string>, standards array<string>, has_diagram boolean, has_math boolean")
+    assert rows(windows.block_unions(cover, blocks_).drop("stream_id"), "window") == [(0, ["u1", "u2"], ["s"], True, False), (1, [], [], False, True), (2, [], [], False, False)]
+    scores = spark.createDataFrame([("b", 1.0, 1.0, True, True, 1, 10), ("odd", 0.0, 0.0, False, False, 0, None), ("a", 0.5, 1.0, False, True, 2, 5)], "question_type string, reciprocal_rank double, recall double, hit_at_1 boolean, hit_at_5 boolean, n_targets int, token_count int")
+    got = rows(metrics.full_summary(scores, ("a", "b")).select("position", "question_type", "n_questions", "mrr", "context_tokens", "with_gold", "without_gold"), "position")
+    assert got == [(0, "overall", 3, 0.5, 15, 2, 1), (1, "a", 1, 0.5, 5, 1, 0), (2, "b", 1, 1.0, 10, 1, 0), (3, "odd", 1, 0.0, 0, 0, 1)]
+    assert rows(metrics.unexpected(scores, ("a", "b"))) == [("odd", 1)]
+    empty = rows(metrics.full_summary(scores.limit(0), ("a", "b")).select("n_questions", "mrr", "context_tokens"))
+    assert empty in ([], [(0, 0.0, 0)])

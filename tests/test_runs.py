@@ -58,6 +58,16 @@ def test_retries_and_errors(spark):
     assert got == {"a": ("scored", 0.5, 0), "b": ("api_error", None, 2), "c": ("parse_error", None, 2)}
 
 
+def test_only_scores_end_the_attempts(spark):
+    """A recovered or invalid score is asked again; each attempt is logged with its time and status."""
+    df = spark.createDataFrame([("a", '{"score": 0.5}'), ("b", '"score": 0.5, cut'), ("c", '{"score": 7}'), ("d", '{"score": "0.25"}')], "k string, prompt string")
+    asked = providers.ask(df, "prompt", lambda prompts: prompts, batch=3)
+    got = {r["k"]: (r["judge_status"], r["score"], r["retries_used"]) for r in providers.outcomes(asked).collect()}
+    assert got == {"a": ("scored", 0.5, 0), "b": ("recovered", 0.5, 2), "c": ("invalid_score", None, 2), "d": ("scored", 0.25, 0)}
+    log = providers.call_log(asked, "k")
+    assert log.count() == 8 and {r["parse_status"] for r in log.where("k = 'b'").collect()} == {"recovered"} and log.where("latency_ms < 0 or at is null").count() == 0
+
+
 def test_cells():
     assert [reports.show(v, k) for v, k in ((None, ""), (True, ""), (0.5, ""), (0.123, "%"), (0.012, "+%"), (1234, "n"))] == ["—", "yes", "0.5000", "12.3%", "+1.2%", "1,234"]
 
