@@ -228,3 +228,14 @@ def test_unions_and_full_summary(spark):
     assert rows(metrics.unexpected(scores, ("a", "b"))) == [("odd", 1)]
     empty = rows(metrics.full_summary(scores.limit(0), ("a", "b")).select("n_questions", "mrr", "context_tokens"))
     assert empty in ([], [(0, 0.0, 0)])
+
+
+def test_chunks_are_numbered_in_closing_order(spark):
+    """Offsets of strips give the same numbers as one window over the book."""
+    data = [(f"b{i % 2}", i % 5 == 0, (i * 7919 % 50) << 22, i % 2, i % 3, i) for i in range(200)]
+    df = spark.createDataFrame([(b, int(left), seq, sub, p, n) for b, left, seq, sub, p, n in data], "book string, leftover int, seq long, sub int, page_number int, block_index int")
+    got = {(r["book"], r["block_index"]): r["ordinal"] for r in merge.in_order(df).collect()}
+    for book in ("b0", "b1"):
+        order = sorted((int(left), seq, sub, p, n) for b, left, seq, sub, p, n in data if b == book)
+        assert [got[book, x[-1]] for x in order] == list(range(len(order)))
+    assert merge.in_order(df.limit(0)).count() == 0
