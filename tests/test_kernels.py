@@ -39,6 +39,25 @@ def test_forward_fill(spark):
     assert rows(fill.forward_fill(out, {"n": ("title",)}), "page_number") == rows(out, "page_number")
 
 
+def test_forward_fill_over_strips(spark):
+    """Strips of any length give what one window over the book gives; groups are independent, null books and pages are kept."""
+    data = [(book, p, p if p % 7 == 3 else 0, f"t{p}", f"{p}.1" if p % 11 == 5 else "", f"l{p}") for book in ("a", "b", None) for p in range(-3, 40)]
+    data += [("a", None, None, "first", None, "first"), ("c", 5, None, "x", None, None)]
+    df = spark.createDataFrame(data, "book string, page_number int, n int, title string, lesson string, name string")
+    groups = {"n": ("title",), "lesson": ("name",)}
+    want = []
+    for book in ("a", "b", "c", None):
+        last = {0: None, 1: None}
+        for b, p, n, t, m, l in sorted((d for d in data if d[0] == book), key=lambda d: (d[1] is not None, d[1] or 0)):
+            own = ((n, t), (m, l))
+            for i in (0, 1):
+                last[i] = own[i] if own[i][0] else last[i]
+            want.append((b, p, *(last[0] or own[0]), *(last[1] or own[1])))
+    for strip in (1, 4, 4096):
+        out = fill.forward_fill(df, groups, strip=strip)
+        assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 BLOCK = "book string, lesson_number string, page_number int, block_index int, content_type string, heading_ar string, continues boolean, continued boolean"
 
 
