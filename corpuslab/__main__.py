@@ -11,7 +11,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from corpuslab.operators import reports
+from corpuslab.operators import judge, providers, reports, retrieval
 from corpuslab.plans import runs
 from corpuslab.plans.config import SYSTEMS, Settings, as_dict, override
 
@@ -25,6 +25,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--questions", help="folder of the question run; default: --store")
     p.add_argument("--config", help="JSON file of settings to replace")
     p.add_argument("--top-k", type=int)
+    p.add_argument("--retriever", choices=("lexical", "dense"), default="lexical", help="dense: by the stand-in embedder's vectors")
+    p.add_argument("--limit", type=int, help="judge the first questions by id only")
+    p.add_argument("--force", action="store_true", help="judge again what is in the ledger")
+    p.add_argument("--recover", action="store_true", help="read stored replies of parse errors again and ask nothing")
     p.add_argument("--dry-run", action="store_true", help="print the settings and stop")
     a = p.parse_args(argv)
     try:
@@ -55,10 +59,17 @@ def main(argv: list[str] | None = None) -> int:
             print(e, file=sys.stderr)
             return 1
     elif a.run == "evaluate":
-        out = runs.evaluate(settings, dataset, made, runs.map_gold(settings, dataset, made), store)
+        find = runs.dense(providers.hashing_embedder(), store) if a.retriever == "dense" else retrieval.lexical_topk
+        out = runs.evaluate(settings, dataset, made, runs.map_gold(settings, dataset, made), store, find)
         print(reports.markdown(out["summary"], f"Retrieval, {settings.system}"))
+    elif a.recover:
+        ledger = runs.recover_run(store)
+        if ledger is None:
+            print("judge: there is no ledger", file=sys.stderr)
+            return 2
+        print(reports.markdown(judge.summary(ledger, ("system", "metric")), f"Judge, {settings.system}"))
     else:
-        out = runs.judge_run(settings, dataset, store.get("records"), store)
+        out = runs.judge_run(settings, dataset, store.get("records"), store, limit=a.limit, force=a.force)
         print(reports.markdown(out["summary"], f"Judge, {settings.system}"))
     return 0
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.operators import blocks, bootstrap, context, fill, gold, judge, merge, metrics, providers, qa, retrieval, windows
+from corpuslab.operators import blocks, bootstrap, context, fill, generation, gold, judge, merge, metrics, providers, qa, quality, retrieval, windows
 from corpuslab.functions.text import ws_tokens
 from corpuslab.plans.config import Settings
 from corpuslab.sources import readers, writers
@@ -109,10 +110,26 @@ def map_gold(settings: Settings, dataset: DataFrame, made: dict[str, DataFrame])
     return gold.by_page(q, made["page_ranges"])
 
 
-def evaluate(settings: Settings, dataset: DataFrame, made: dict[str, DataFrame], targets: DataFrame, store: Store) -> dict[str, DataFrame]:
-    """Lexical retrieval, metrics, contexts and stand-in answers of a system."""
+#: From questions ``(qa_id, text)``, texts ``(chunk_id, text)`` and k to ``(qa_id, chunk_id, rank, score)``.
+Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+def dense(provider: providers.Embed, store: Store) -> Retriever:
+    """Retrieval by the store's vectors, which are made where there are none; vectors of texts that are gone stay out."""
+
+    def find(questions: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+        vectors = store.get("vectors")
+        vectors = index(texts, provider, store) if vectors is None else vectors
+        now = vectors.join(texts.select("chunk_id"), "chunk_id", "left_semi")
+        return retrieval.dense_topk(providers.embed(questions, "qa_id", "text", provider), now, k)
+
+    return find
+
+
+def evaluate(settings: Settings, dataset: DataFrame, made: dict[str, DataFrame], targets: DataFrame, store: Store, retriever: Retriever = retrieval.lexical_topk) -> dict[str, DataFrame]:
+    """Retrieval, metrics, contexts and stand-in answers of a system."""
     r = settings.retrieval
-    hits = store.put("hits", retrieval.lexical_topk(dataset.select("qa_id", F.col("question").alias("text")), made["texts"].select("chunk_id", "text"), r.top_k))
+    hits = store.put("hits", retriever(dataset.select("qa_id", F.col("question").alias("text")), made["texts"].select("chunk_id", "text"), r.top_k))
     scores = metrics.question_scores(dataset.select("qa_id", "question_type"), hits, targets, r.reported)
     scores = scores.join(metrics.gold_recall(dataset, hits, targets), "qa_id")
     ctx = context.assemble(hits.join(made["texts"].select("chunk_id", "text"), "chunk_id"), r.context_budget)
@@ -123,12 +140,25 @@ def evaluate(settings: Settings, dataset: DataFrame, made: dict[str, DataFrame],
     return {"records": records, "summary": metrics.summary(records, r.reported, "question_type"), "misses": metrics.misses(records, r.top_k)}
 
 
-def judge_run(settings: Settings, dataset: DataFrame, records: DataFrame, store: Store, provider: providers.Reply = providers.mock_judge) -> dict[str, DataFrame]:
-    """Scores of all pending dimensions, merged into the store's ledger; finished ones are not asked again."""
+def generate(tasks: DataFrame, store: Store, provider: providers.Reply, force: bool = False) -> DataFrame:
+    """Candidates of ``tasks(task_id, question_type, prompt)`` by a model; tasks that have a record, failed ones too, are not asked again unless ``force`` is set."""
+    done = store.get("generated")
+    asked = providers.ask(generation.unanswered(tasks, done, force).select("task_id", "question_type", "prompt"), "prompt", provider, 0)
+    call = F.element_at("calls", -1)
+    fresh = generation.candidates(asked.select("task_id", "question_type", call["raw_response"].alias("raw_response"), call["error"].alias("error")))
+    if done is not None:
+        fresh = fresh.unionByName(generation.unanswered(done, tasks) if force else done)
+    return store.put("generated", fresh)
+
+
+def judge_run(settings: Settings, dataset: DataFrame, records: DataFrame, store: Store, provider: providers.Reply = providers.mock_judge, limit: int | None = None, force: bool = False) -> dict[str, DataFrame]:
+    """Scores of all pending dimensions, merged into the store's ledger; finished ones are not asked again unless ``force`` is set. ``limit`` takes the first questions by id."""
+    if limit is not None:
+        dataset = quality.first(dataset, limit, "qa_id")
     items = records.join(dataset.select("qa_id", "question", F.col("answer").alias("reference")), "qa_id").select("qa_id", "system", "question", "reference", "context", "answer")
     work = judge.dimensions(items, settings.judge.mode, settings.judge.dimensions).withColumns({"prompt": judge.prompt(*[F.col(c) for c in ("question", "reference", "context", "answer")]), "skip": judge.skipped(F.col("answer"), F.col("context"))})
     old = store.get("ledger")
-    if old is not None:
+    if old is not None and not force:
         work = judge.pending(work, judge.ledger(old.withColumn("line", F.lit(0))))
     asked = store.put("calls", providers.ask(work.where("skip is null").select(*judge.KEY, "prompt"), "prompt", provider, settings.judge.max_retries))
     columns = [*judge.KEY, "judge_status", "score", "rationale", "raw_response", "retries_used"]
@@ -139,6 +169,12 @@ def judge_run(settings: Settings, dataset: DataFrame, records: DataFrame, store:
     return {"ledger": ledger, "summary": judge.summary(ledger, ("system", "metric")), "calls": providers.call_log(asked, *judge.KEY)}
 
 
+def recover_run(store: Store) -> DataFrame | None:
+    """The store's ledger with parse errors judged again from their stored replies; no model is asked. None without a ledger."""
+    ledger = store.get("ledger")
+    return None if ledger is None else store.put("ledger", judge.recover(ledger))
+
+
 def compare(settings: Settings, ledger: DataFrame) -> DataFrame:
     """Paired differences of the configured systems with bootstrap limits."""
     j = settings.judge

@@ -68,6 +68,26 @@ def test_only_scores_end_the_attempts(spark):
     assert log.count() == 8 and {r["parse_status"] for r in log.where("k = 'b'").collect()} == {"recovered"} and log.where("latency_ms < 0 or at is null").count() == 0
 
 
+def test_generation_goes_on_where_it_stopped(spark, tmp_path):
+    """Answered and failed tasks are asked once; ``force`` asks the tasks given again and leaves the other records."""
+    store = runs.Store(spark, str(tmp_path))
+    tasks = spark.createDataFrame([(f"t{i}", "definition", "down" if i == 1 else f"p{i}") for i in range(4)], "task_id string, question_type string, prompt string")
+
+    def model(word):
+        def reply(prompts):
+            if "down" in prompts:
+                raise RuntimeError("down")
+            return [f'{{"question_ar": "{word} {p}"}}' for p in prompts]
+
+        return reply
+
+    state = lambda df: {r["task_id"]: (r["status"], r["question"]) for r in df.collect()}
+    assert state(runs.generate(tasks.where("task_id < 't2'"), store, model("one"))) == {"t0": ("generated", "one p0"), "t1": ("generation_failed", None)}
+    assert state(runs.generate(tasks, store, model("two"))) == {"t0": ("generated", "one p0"), "t1": ("generation_failed", None), "t2": ("generated", "two p2"), "t3": ("generated", "two p3")}
+    again = runs.generate(tasks.where("task_id = 't2'"), store, model("three"), force=True)
+    assert again.count() == 4 and state(again)["t2"] == ("generated", "three p2") and state(again)["t3"] == ("generated", "two p3")
+
+
 def test_cells():
     assert [reports.show(v, k) for v, k in ((None, ""), (True, ""), (0.5, ""), (0.123, "%"), (0.012, "+%"), (1234, "n"))] == ["—", "yes", "0.5000", "12.3%", "+1.2%", "1,234"]
 
@@ -92,7 +112,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["ingest", "--pages", str(tmp_path / "pages"), *common]) == 0
     assert main(["questions", *common]) == 0
     assert main(["evaluate", "--top-k", "3", *common]) == 0 and "| overall |" in capsys.readouterr().out
-    assert main(["judge", *common]) == 0
+    assert main(["judge", "--recover", *common]) == 2
+    assert main(["judge", "--limit", "2", *common]) == 0
+    store = runs.Store(spark, str(tmp_path / "store"))
+    assert store.get("ledger").select("qa_id").distinct().count() == 2
+    assert main(["judge", "--force", *common]) == 0
+    assert store.get("ledger").select("qa_id").distinct().count() == 10 and store.get("calls").count() == 40
+    assert main(["judge", "--recover", *common]) == 0 and store.get("ledger").count() == 40
+    assert main(["evaluate", "--retriever", "dense", "--top-k", "3", *common]) == 0
+    assert store.get("hits").groupBy("qa_id").count().where("count > 3").count() == 0 and store.get("vectors").count() > 0
     assert main(["ingest", "--dry-run", *common]) == 0 and '"quota": 2' in capsys.readouterr().out
     (tmp_path / "config.json").write_text('{"nothing": 1}')
     assert main(["judge", *common]) == 2
