@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Java's form of "a run of anything but ASCII white space".
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a sieve: for each key, and at most (8 MB).
+SIEVE_KEY, SIEVE = 16, 1 << 26
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +55,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` that may have a partner in ``wanted`` by the columns ``keys``, so that a join that follows need not shuffle the others.
+
+    Each key of ``wanted``, a written table, sets two of at most ``SIEVE`` bits, which are broadcast. Every row that has a partner
+    passes; so do some that have none (under 1 in 30, more where the bits don't suffice), so the join must follow.
+    """
+    spark = rows.sparkSession
+    n = 1 << min(SIEVE.bit_length() - 1, max(6, (SIEVE_KEY * wanted.count() - 1).bit_length()))
+
+    def places(df: DataFrame) -> list[Column]:
+        h = F.xxhash64(*[df[k] for k in keys])
+        return [x.bitwiseAND(F.lit(n - 1)) for x in (h, F.shiftrightunsigned(h, 32))]
+
+    at = wanted.select(F.explode(F.array(*places(wanted))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(n >> 6, dtype=np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sieve = spark.createDataFrame(pa.table({"__bits": pa.array([bits], pa.list_(pa.int64()))}))
+    hit = [F.getbit(F.get("__bits", F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1 for x in places(rows)]
+    return rows.join(F.broadcast(sieve), hit[0] & hit[1]).drop("__bits")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

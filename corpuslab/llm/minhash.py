@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.common import WORD as K_WORD
-from corpuslab.llm.common import bounded_batches, keyed, release, saved
+from corpuslab.llm.common import bounded_batches, keyed, release, saved, sieved
 from corpuslab.llm.grouping import resolve
 
 #: Rows and bands: a pair at 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8.
@@ -180,8 +180,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, rows: int, bands: int) -
 
     def payloads(ids: DataFrame) -> DataFrame:
         # written, so that the join with the texts can split the rows of one document that repeats
-        wanted = saved(classes.select("id", "one.d", "one.f").join(ids, "id", "left_semi"), "wanted")
-        cut = docs.join(wanted, (docs["__d"] == wanted["d"]) & (docs["__f"] == wanted["f"])).select("text", "id")
+        wanted = saved(classes.select("id", F.col("one.d").alias("__d"), F.col("one.f").alias("__f")).join(ids, "id", "left_semi"), "wanted")
+        cut = sieved(docs, wanted, "__d", "__f").join(wanted, ["__d", "__f"]).select("text", "id")
         return cut.mapInPandas(_sets_checked(width), "id binary, payload binary").dropDuplicates(["id"])
 
     roots = resolve(buckets, payloads, _pairs(percent), _block(percent))

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpuslab.llm import bwt, decontam, grouping, kernels, langid, licences, minhash, mixing, suffix_dedup
+from corpuslab.llm import bwt, common, decontam, grouping, kernels, langid, licences, minhash, mixing, suffix_dedup
 
 
 def rows(df, *order):
@@ -134,6 +134,49 @@ def test_near_duplicates_on_odd_tables(spark, documents):
     assert minhash.near_duplicates(documents.limit(0)).count() == 0
 
 
+def shuffled(spark, run):
+    """Bytes that ``run()`` shuffles."""
+    spark.sparkContext.setJobGroup("shuffled", "")
+    run()
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = {k for j in tracker.getJobIdsForGroup("shuffled") for k in tracker.getJobInfo(j).stageIds}
+    return sum(sc.statusStore().lastStageAttempt(k).shuffleWriteBytes() for k in stages)
+
+
+def test_texts_without_candidates_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(2000)) for _ in range(200)]
+    texts += [t + f" {i} end" for i, t in enumerate(texts[:4])] + ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = []
+    try:
+        moved = shuffled(spark, lambda: got.extend(rows(minhash.near_duplicates(docs, width=2), "doc_id")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [r[2] for r in got] == [*range(200), 0, 1, 2, 3, 204, 205]
+    assert moved < 0.4 * sum(len(t or "") for t in texts)
+
+
+@pytest.mark.parametrize("most", [64, 1 << 26])
+def test_a_sieve_lets_partners_through(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(common, "SIEVE", most)
+    all_ = spark.range(-5000, 5000).select(F.when(F.col("id") != 7, F.col("id")).alias("d"), F.concat(F.lit("k"), "id").alias("f"), F.lit("x").alias("bits"))
+    for n in (0, 300):
+        all_.where(f"d between 1 and {n} or d is null and {n} > 0").select("d", "f").write.parquet(str(tmp_path / f"{n}"))
+        wanted = spark.read.parquet(str(tmp_path / f"{n}"))
+        out = common.sieved(all_, wanted, "d", "f")
+        assert out.columns == all_.columns
+        got, want = [tuple(r)[:2] for r in out.collect()], {tuple(r) for r in wanted.collect()}
+        assert len(want) == n and want <= set(got) and len(set(got)) == len(got)
+        assert most == 64 or len(got) - n < 0.04 * 10_000
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400, dtype=np.uint64)
