@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,3 +15,28 @@ def documents(spark):
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     return df.withColumn("n_chars", F.length("text").cast("long")).withColumns({c: F.lit("x") for c in ("id", "key", "root", "n", "h", "size", "place", "spans")})
+
+
+@pytest.fixture()
+def shuffled(spark):
+    """Bytes that a call shuffles where no table is small enough to be broadcast unasked."""
+
+    sc, name = spark.sparkContext._jsc.sc(), "spark.sql.autoBroadcastJoinThreshold"
+
+    def total():
+        time.sleep(0.3)  # the sums of executors are brought up to date at most every 0.1 s, as a task ends
+        spark.range(1).count()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.length()))
+
+    def measure(call):
+        before, least = total(), spark.conf.get(name)
+        spark.conf.set(name, "-1")
+        try:
+            call()
+        finally:
+            spark.conf.set(name, least)
+        return total() - before
+
+    return measure

@@ -134,31 +134,14 @@ def test_near_duplicates_on_odd_tables(spark, documents):
     assert minhash.near_duplicates(documents.limit(0)).count() == 0
 
 
-def shuffled(spark, run):
-    """Bytes that ``run()`` shuffles."""
-    spark.sparkContext.setJobGroup("shuffled", "")
-    run()
-    sc = spark.sparkContext._jsc.sc()
-    sc.listenerBus().waitUntilEmpty(30_000)
-    spark.sparkContext._jsc.clearJobGroup()
-    tracker = spark.sparkContext.statusTracker()
-    stages = {k for j in tracker.getJobIdsForGroup("shuffled") for k in tracker.getJobInfo(j).stageIds}
-    return sum(sc.statusStore().lastStageAttempt(k).shuffleWriteBytes() for k in stages)
-
-
-def test_texts_without_candidates_are_not_shuffled(spark, tmp_path):
+def test_texts_without_candidates_are_not_shuffled(spark, shuffled, tmp_path):
     rng = random.Random(8)
     texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(2000)) for _ in range(200)]
     texts += [t + f" {i} end" for i, t in enumerate(texts[:4])] + ["", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     got = []
-    try:
-        moved = shuffled(spark, lambda: got.extend(rows(minhash.near_duplicates(docs, width=2), "doc_id")))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = shuffled(lambda: got.extend(rows(minhash.near_duplicates(docs, width=2), "doc_id")))
     assert [r[2] for r in got] == [*range(200), 0, 1, 2, 3, 204, 205]
     assert moved < 0.4 * sum(len(t or "") for t in texts)
 

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against what the stage promises."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -30,6 +32,19 @@ def test_stages(spark, tmp_path):
     assert len(seen[3]) >= 0.9 * len(seen[2]) and seen[4] == seen[3]
 
 
+def test_near_duplicates_shuffle_texts_once(spark, shuffled, tmp_path):
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(2000)) for _ in range(200)]
+    texts += [t + f" {i} end" for i, t in enumerate(texts[:4])]
+    rows = [(i, t, "en", None, len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    moved = shuffled(lambda: corpus_pipeline.drop_near_duplicates(spark, docs, SF).write.parquet(str(tmp_path / "out")))
+    left = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, left.collect())) == rows[:200]
+    assert moved < 1.3 * sum(map(len, texts))
+
+
 def test_queries_are_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
